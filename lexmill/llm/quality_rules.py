@@ -51,10 +51,10 @@ def base_statistics(t: DataFrame) -> DataFrame:
 def _lines(t: DataFrame) -> DataFrame:
     """One row for each line with a word: _id, _key, _host, its place, hash and words, and its document's fingerprint.
 
-    Lines are lower-cased (A-Z), their digits made 0 and their spaces single. The fingerprint is the least line hash of the
+    Lines are lower-cased (A-Z), their runs of digits made 0 and their spaces single. The fingerprint is the least line hash of the
     document, so that copies and most near copies of one document have one and count once.
     """
-    text = F.translate("_text", C.UPPER + "123456789", C.LOWER + "0" * 9)
+    text = F.regexp_replace(C.ascii_lower("_text"), "[0-9]+", "0")
     lines = F.filter(F.transform(F.split(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     parted = t.select("_id", "_key", "_host", lines.alias("_l"))
     each = parted.select("_id", "_key", "_host", F.transform("_l", lambda x: F.struct(F.xxhash64(x).alias("h"), F.md5(x).alias("m"), F.size(F.split(x, " ")).alias("n"))).alias("_s"))
@@ -94,7 +94,7 @@ _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'
 OP4_SQL = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host, {_WORDS} AS w FROM documents),
 lines AS (
-  SELECT doc_id, host, unnest(list_filter(list_transform(string_split(regexp_replace(translate(text, '{C.UPPER}123456789', '{C.LOWER}000000000'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS line
+  SELECT doc_id, host, unnest(list_filter(list_transform(string_split(regexp_replace(regexp_replace(translate(text, '{C.UPPER}', '{C.LOWER}'), '[0-9]+', '0', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS line
   FROM t),
 prints AS (SELECT doc_id, min(md5(line)) AS print FROM lines GROUP BY doc_id),
 frequent AS (SELECT host, line FROM lines JOIN prints USING (doc_id) GROUP BY host, line HAVING count(DISTINCT print) > 10),

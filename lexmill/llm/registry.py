@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules
+from . import decontaminate, packing, quality_rules, secret_scan, token_files
 
 
 def queries():
     return {
+        "op2_automaton": secret_scan.op2,
         "op4_line_frequency": quality_rules.op4,
+        "op6_token_files": token_files.op6,
         "op7_winnowing": decontaminate.op7,
+        "op10_harmonic_packing": packing.op10,
     }
 
 
 def oracle_sql():
     return {
+        "op2_automaton": secret_scan.OP2_SQL,
         "op4_line_frequency": quality_rules.OP4_SQL,
         "op7_winnowing": decontaminate.OP7_SQL,
     }
