@@ -224,3 +224,22 @@ def test_packing_pads_little():
         filled[s] = at + n
     padded = sum(n if n & (n - 1) == 0 else 1024 for n in filled.values())
     assert sum(filled.values()) == total and padded < 1.004 * total
+
+
+def test_license_scan(spark, none):
+    from lexmill.llm import license_scan as L
+
+    base = [t.text for t in L.BASE]
+    mit = L.NOTICES[0].text
+    texts = [None, "", "CC-BY CC BY cc by. MIT License; the Apache\nLicense, GNU general PUBLIC license GNU GENERAL", f"x {mit} y", mit.replace("associated", "related"), mit.replace("free", "full"), "apache apache license version 2.0", "Licensed under CC BY-NC 4.0.", "é mité license mit\x00license ccby cc  by", " ".join(["mit"] * 5000 + ["license"])]
+    df = spark.createDataFrame([(i, t, "b", 1) for i, t in enumerate(texts)] + [(2, texts[2], "b", 2)], "doc_id long, text string, base string, n_words int")
+
+    def brute(text):
+        w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER)) if x]
+        return len(w), sorted((L.BASE[k].label, i) for k, p in enumerate(base) for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+
+    rows = L.scan_licenses(df).collect()
+    assert sorted((r.doc_id, r.n_words, sorted(map(tuple, r.base))) for r in rows) == sorted((r.doc_id, *brute(r.text)) for r in df.collect())
+    found = {r.doc_id: {(n.label, round(n.score, 2)) for n in r.notices} for r in rows}
+    assert found[3] == {("mit", 1.0)} and found[4] == {("mit", 0.97)} and found[5] == set() and {n for n, _ in found[7]} == {"cc-by-nc-4.0"} and {n for n, _ in found[6]} == {"apache-2.0"}
+    assert L.scan_licenses(none).count() == 0
