@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, packing, quality_rules, secret_scan, token_files
+from . import decontaminate, license_scan, minhash_dedup, packing, quality_rules, secret_scan, token_files
 
 
 def queries():
     return {
         "op2_automaton": secret_scan.op2,
+        "op3_minhash": minhash_dedup.op3,
         "op4_line_frequency": quality_rules.op4,
         "op5_positional_index": license_scan.op5,
         "op6_token_files": token_files.op6,
