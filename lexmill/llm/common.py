@@ -29,8 +29,11 @@ def rows(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "t
     return docs.select(docs[id_col].alias("_id"), text.alias("_text"), *(docs[c].alias(f"_{c}") for c in more)).withColumn("_key", F.xxhash64("_text"))
 
 
-def same_row(a: DataFrame, b: DataFrame) -> Column:
-    return a["_id"].eqNullSafe(b["_id"]) & (a["_key"] == b["_key"])
+def without(docs: DataFrame, verdicts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, but those whose id and content key are in ``verdicts``."""
+    gone = verdicts.select(verdicts[id_col].alias("_gone_id"), verdicts["_key"].alias("_gone_key"))
+    key = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (key == gone["_gone_key"]), "left_anti")
 
 
 def ascii_lower(c: Column | str) -> Column:
@@ -63,4 +66,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexmill/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what has just been written
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lexmill_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of ``stored`` that nothing reads any more."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._lexmill_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

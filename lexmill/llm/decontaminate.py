@@ -56,7 +56,7 @@ def _bitmap(prints: DataFrame, bits: int) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document row: the id, n_words, n_hit, n_items, items (their ids as sorted strings), hits (structs at, n).
+    """One row per document row: the id, the content key of common.rows, n_words, n_hit, n_items, items (their ids as sorted strings), hits (structs at, n).
 
     Words are runs of letters, digits and non-ASCII characters after lower-casing A-Z. An item's windows are its runs of 10
     words, or all its words if they are fewer; a document's word is hit if it stands in an occurrence of any window. Null
@@ -100,6 +100,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     covered = F.size(F.array_distinct(F.flatten(F.transform("_hits", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))))
     return joined.select(
         F.col("_id").alias(id_col),
+        "_key",
         "n_words",
         F.when(F.col("_hits").isNull(), 0).otherwise(covered).cast("long").alias("n_hit"),
         F.size(F.coalesce("_items", none)).cast("long").alias("n_items"),

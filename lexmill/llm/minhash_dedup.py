@@ -80,7 +80,7 @@ def _pairs(buckets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the id, n_shingles, component_id, kept.
+    """One row per input row: the id, the content key of common.rows, n_shingles, component_id, kept.
 
     A text's set: its distinct ``k``-word shingles after lower-casing A-Z, or all its words as one if they are fewer. Texts
     with 100 * intersection >= percent * union are linked; component_id is the least id reachable, and kept says whether

@@ -78,7 +78,7 @@ def pack_sequences(docs: DataFrame, tokenizer: str, *, chunks: str, end_id: int,
     are ignored. ``emit_ids=False`` leaves the ids out, for digests of large tables.
     """
     ship(docs.sparkSession)
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), *([T.StructField("ids", T.ArrayType(T.LongType()))] if emit_ids else [])])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if emit_ids else [])])
 
     def run(batches):
         import zlib
@@ -93,7 +93,7 @@ def pack_sequences(docs: DataFrame, tokenizer: str, *, chunks: str, end_id: int,
         def flush():
             r = list(zip(*packer.rows, strict=True))
             packer.rows = []
-            columns = [r[0], r[1], r[2], [zlib.crc32(np.ascontiguousarray(x)) for x in r[3]], r[4], r[5], r[6]] + ([[x.astype(np.int64) for x in r[3]]] if emit_ids else [])
+            columns = [r[0], r[1], r[2], [zlib.crc32(np.ascontiguousarray(x)) for x in r[3]], r[4], r[5], r[6]] + ([[x.astype(np.int32) for x in r[3]]] if emit_ids else [])
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, out, strict=True)], schema=out)
 
         for batch in batches:

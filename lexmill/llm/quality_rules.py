@@ -63,7 +63,7 @@ def _lines(t: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_percent: int = 20, max_documents: int = 10, min_left: float = 0.25) -> DataFrame:
-    """One row per input row: the id, the base statistics, n_removed_words, base_failed and kept.
+    """One row per input row: the id, the content key of common.rows, the base statistics, n_removed_words, base_failed and kept.
 
     base_failed: fewer than ``min_words`` words, or over ``max_repeat_percent`` % of them in repeated 5-word windows.
     A line is over the limit when over ``max_documents`` distinct documents of its host have it (see ``_lines`` for what
@@ -82,12 +82,12 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     gone = F.coalesce("_removed", F.lit(0).cast("long"))
     return joined.select(
-        F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", gone.alias("n_removed_words"), failed.alias("base_failed"), (~failed & (F.col("n_words") - gone >= min_left * F.col("n_words"))).alias("kept")
+        F.col("_id").alias(id_col), "_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", gone.alias("n_removed_words"), failed.alias("base_failed"), (~failed & (F.col("n_words") - gone >= min_left * F.col("n_words"))).alias("kept")
     )
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(C.table(spark, sf_dir, "documents"))
+    return quality_rules(C.table(spark, sf_dir, "documents")).drop("_key")
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
