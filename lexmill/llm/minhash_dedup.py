@@ -79,6 +79,30 @@ def _pairs(buckets: DataFrame) -> DataFrame:
     return buckets.join(hubs, "bucket").where(F.col("node") != F.col("hub"))
 
 
+def star_links(members: DataFrame, full_sets, percent: int) -> DataFrame:
+    """Confirmed edges (node, hub) between the distinct ``members`` (bucket, node).
+
+    ``full_sets`` gives (node, set) for a table of nodes. A node's score is the number of nodes that its buckets hold, so
+    that the text which most copies still resemble becomes the hub.
+    """
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    crowded = C.stored(members.join(shared, "bucket").select("bucket", "node", "_size"), "buckets")
+    score = crowded.groupBy("node").agg(F.sum("_size").alias("score"))
+    sets = C.stored(full_sets(score.select("node")), "sets")
+    todo = C.stored(_pairs(crowded.select("bucket", "node").join(score, "node")), "stars")
+    edges = crowded.select("node", F.col("node").alias("hub")).limit(0)
+    while not todo.isEmpty():
+        pairs = todo.select("node", "hub").distinct()
+        left, right = sets.select("node", F.col("set").alias("_x")), sets.select(F.col("node").alias("hub"), F.col("set").alias("_y"))
+        both = F.size(F.array_intersect("_x", "_y"))
+        verdict = pairs.join(left, "node").join(right, "hub").select("node", "hub", (100 * both >= percent * (F.size("_x") + F.size("_y") - both)).alias("linked"))
+        verdict = C.stored(verdict, "verdicts")
+        edges = edges.unionByName(verdict.where("linked").select("node", "hub"))
+        turned_down = todo.join(verdict.where(~F.col("linked")), ["node", "hub"]).select("bucket", "node", "score")
+        todo = C.stored(_pairs(turned_down), "stars")
+    return edges
+
+
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, the content key of common.rows, n_shingles, component_id, kept.
 
@@ -90,33 +114,15 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
     ship(docs.sparkSession)
     t = C.rows(docs, id_col=id_col, text_col=text_col)
     signed = C.stored(signatures(t, k, bands, rows), "minhash")
-    # Copies of a set fall together here, before anything is dealt out by bucket.
-    members = signed.where("node IS NOT NULL").select(F.explode("bands").alias("bucket"), "node").distinct()
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    crowded = members.join(shared, "bucket")
-    crowded = C.stored(crowded.select("bucket", "node", "_size"), "buckets")
-    score = crowded.groupBy("node").agg(F.sum("_size").alias("score"))
-    buckets = crowded.select("bucket", "node").join(score, "node")
-
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("least"), F.min(F.struct("_id", "_key")).alias("one"))
-    involved = score.join(nodes, "node").select("node", F.col("one._id").alias("_rid"), F.col("one._key").alias("_rkey"))
-    texts = t.join(involved, t["_id"].eqNullSafe(involved["_rid"]) & (t["_key"] == involved["_rkey"])).select("node", "_text")
-    sets = C.stored(_full_sets(texts, k).dropDuplicates(["node"]), "sets")
 
-    links = []
-    todo = C.stored(_pairs(buckets), "stars")
-    while not todo.isEmpty():
-        pairs = todo.select("node", "hub").distinct()
-        left, right = sets.select("node", F.col("set").alias("_x")), sets.select(F.col("node").alias("hub"), F.col("set").alias("_y"))
-        both = F.size(F.array_intersect("_x", "_y"))
-        verdict = pairs.join(left, "node").join(right, "hub").select("node", "hub", (100 * both >= percent * (F.size("_x") + F.size("_y") - both)).alias("linked"))
-        verdict = C.stored(verdict, "verdicts")
-        links.append(verdict.where("linked").select("node", "hub"))
-        turned_down = todo.join(verdict.where(~F.col("linked")), ["node", "hub"]).select("bucket", "node", "score")
-        todo = C.stored(_pairs(turned_down), "stars")
-    edges = links[0] if links else signed.select(F.col("node"), F.col("node").alias("hub")).limit(0)
-    for more in links[1:]:
-        edges = edges.unionByName(more)
+    def full_sets(wanted: DataFrame) -> DataFrame:
+        involved = wanted.join(nodes, "node").select("node", F.col("one._id").alias("_rid"), F.col("one._key").alias("_rkey"))
+        texts = t.join(involved, t["_id"].eqNullSafe(involved["_rid"]) & (t["_key"] == involved["_rkey"])).select("node", "_text")
+        return _full_sets(texts, k).dropDuplicates(["node"])
+
+    # Copies of a set fall together here, before anything is dealt out by bucket.
+    edges = star_links(signed.where("node IS NOT NULL").select(F.explode("bands").alias("bucket"), "node").distinct(), full_sets, percent)
     found = components(edges, "node", "hub")
 
     of = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

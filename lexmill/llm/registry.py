@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, minhash_dedup, packing, quality_rules, secret_scan, suffix_dedup, token_files
+from . import decontaminate, license_scan, minhash_dedup, packing, paragraph_dedup, quality_rules, secret_scan, suffix_dedup, token_files
 
 
 def queries():
@@ -16,6 +16,7 @@ def queries():
         "op5_positional_index": license_scan.op5,
         "op6_token_files": token_files.op6,
         "op7_winnowing": decontaminate.op7,
+        "op8_paragraphs": paragraph_dedup.op8,
         "op9_suffix_array": suffix_dedup.op9,
         "op10_harmonic_packing": packing.op10,
     }
