@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, minhash_dedup, packing, paragraph_dedup, quality_rules, secret_scan, suffix_dedup, token_files
+from . import decontaminate, license_scan, minhash_dedup, packing, paragraph_dedup, quality_rules, secret_scan, suffix_dedup, token_files, weak_quality
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
 
     return {
         "pipeline": corpus_pipeline.run,
+        "op1_weak_labels": weak_quality.op1,
         "op2_automaton": secret_scan.op2,
         "op3_minhash": minhash_dedup.op3,
         "op4_line_frequency": quality_rules.op4,

@@ -146,7 +146,7 @@ def test_secret_scan(docs, none):
     assert secret_scan.scan_secrets(none).count() == 0
 
 
-SPACES = ["a", "B", "c'll", "'S", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "　", "é", "é", "Σς", "中文", "12", "!?", "<|endoftext|>", "İ", "\U0001f600"]
+SPACES = ["a", "B", ",", ".", "|", "%", "'", "\u0301", "б", "7", "word", "…", "c'll", "'S", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "　", "é", "é", "Σς", "中文", "12", "!?", "<|endoftext|>", "İ", "\U0001f600"]
 
 
 @settings(max_examples=300, deadline=None)
