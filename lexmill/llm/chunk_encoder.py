@@ -9,13 +9,21 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
+_LATIN, _MARKS, _SPACE = "A-Za-zÀ-ÖØ-öø-įı-ɏ", r".,;:!?%&$#*|", r" \t\n\r"
+#: Latin words (without U+0130, whose lower case has a mark) and runs of common marks are chunks of their own where nothing that could join them follows; what else
+#: stands between white space stays whole.
 CHUNKS = {
-    "words": re.compile(r"[^ \t\n\r\x0b\x0c]+"),
-    "spaced": re.compile(r"\s*\S+(?:[^\S \n\t\r]\s*\S*)*|\s+"),
+    "words": re.compile(rf"[{_LATIN}]++(?=[{_SPACE}\x0b\x0c{_MARKS}]|\Z)|[{_MARKS}]++(?=[{_SPACE}\x0b\x0c{_LATIN}0-9]|\Z)|[^{_SPACE}\x0b\x0c]+"),
+    "spaced": re.compile(rf" ?[{_LATIN}]++(?=[{_SPACE}{_MARKS}]|\Z)| ?[{_MARKS}]++(?=[{_SPACE}{_LATIN}0-9]|\Z)|\s*\S+(?:[^\S{_SPACE}]\s*\S*)*|\s+"),
 }
+#: New chunks are encoded many at a time, between a mark of one id that none of them holds. In ``spaced`` mode chunks that
+#: begin with more than one space could join the mark's and go one by one.
+BETWEEN, TOGETHER = {"words": " \x01 ", "spaced": "\n\x01\n"}, 2048
+_APART = re.compile(r"\x01|<\||^(?! ?\S)|\s$|\S\s")
 #: Distinct chunks kept in each Python worker, and the longest chunk kept; others are encoded each time they occur.
-CACHED, LONGEST = 400_000, 48
+CACHED, LONGEST = 700_000, 48
 
 _encoders: dict[tuple[str, str], ChunkEncoder] = {}
 
@@ -26,6 +34,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.find, self.cache = Tokenizer.from_file(path), CHUNKS[chunks].findall, {}
+        self.between = BETWEEN[chunks]
+        self.mark = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+        self.cut = self.tokenizer.encode("\x01", add_special_tokens=False).ids
 
     @classmethod
     def of(cls, path: str, chunks: str) -> ChunkEncoder:
@@ -34,16 +45,32 @@ class ChunkEncoder:
             _encoders[path, chunks] = cls(path, chunks)
         return _encoders[path, chunks]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def _new(self, chunks: set[str]):
+        """Each chunk with its ids."""
         import numpy as np
 
+        apart = [c for c in chunks if _APART.search(c)] if len(self.cut) == 1 else list(chunks)
+        joined = list(chunks.difference(apart))
+        edge = self.mark.index(self.cut[0]) if joined else 0  # ids of the mark before and after its own
+        for i in range(0, len(joined), TOGETHER):
+            some = joined[i : i + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between + self.between.join(some) + self.between], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(ids == self.cut[0])
+            if len(at) != len(some) + 1:
+                raise ValueError("a chunk holds the mark's id")
+            data = ids.tobytes()
+            for c, a, b in zip(some, (4 * (at[:-1] + 1 + edge)).tolist(), (4 * (at[1:] - edge)).tolist(), strict=True):
+                yield c, data[a:b]
+        for i in range(0, len(apart), TOGETHER):
+            for c, e in zip(apart[i : i + TOGETHER], self.tokenizer.encode_batch_fast(apart[i : i + TOGETHER], add_special_tokens=False), strict=True):
+                yield c, array("I", e.ids).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
         cache, parts = self.cache, [self.find(t) for t in texts]
-        new = list({c for p in parts for c in p if c not in cache})
         extra = {}
-        for i in range(0, len(new), 4096):
-            for c, e in zip(new[i : i + 4096], self.tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False), strict=True):
-                (cache if len(cache) < CACHED and len(c) <= LONGEST else extra)[c] = np.array(e.ids, "<u4").tobytes()
+        for c, ids in self._new({c for p in parts for c in p if c not in cache}):
+            (cache if len(cache) < CACHED and len(c) <= LONGEST else extra)[c] = ids
         if not extra:
             return [b"".join(map(cache.__getitem__, p)) for p in parts]
         return [b"".join([cache[c] if c in cache else extra[c] for c in p]) for p in parts]

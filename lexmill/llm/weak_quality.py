@@ -92,31 +92,40 @@ def features(text: str) -> list[int]:
     return [zlib.crc32(x.encode()) % SLOTS for x in found]
 
 
-def train(rows: list[tuple[list[int], float]], least: int = 4, rounds: int = 150, ridge: float = 1e-3) -> tuple[float, dict[int, float]]:
+def train(rows: list[tuple[list[int], float]], least: int = 4, rounds: int = 300, sparse: float = 1e-3) -> tuple[float, dict[int, float]]:
     """(bias, weight by feature) of a logistic scorer for posterior labels; features in under ``least`` rows have none.
 
-    Classes weigh alike. Full-batch gradient steps with per-feature step sizes, so it is the same wherever it runs.
+    Classes weigh alike. Accelerated proximal gradient steps with an L1 penalty, which leaves the weights of words that tell
+    nothing at 0; full batches, so it is the same wherever it runs.
     """
     import numpy as np
 
     if not rows:
         return 0.0, {}
-    at = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
+    n = len(rows)
+    at = np.repeat(np.arange(n), [len(f) for f, _ in rows])
     slots, column, seen = np.unique(np.fromiter((x for f, _ in rows for x in f), np.int64), return_inverse=True, return_counts=True)
     keep = seen[column] >= least
     at, column = at[keep], column[keep]
     y = np.array([p for _, p in rows])
-    weight = np.where(y >= 0.5, 0.5 / max((y >= 0.5).mean(), 1e-9), 0.5 / max((y < 0.5).mean(), 1e-9))
-    w, bias, step, bias_step = np.zeros(len(slots)), 0.0, np.full(len(slots), 1e-8), 1e-8
+    weight = np.where(y >= 0.5, 0.5 / max((y >= 0.5).mean(), 1e-9), 0.5 / max((y < 0.5).mean(), 1e-9)) / n
+    v = np.ones(len(slots))
+    for _ in range(12):  # the greatest curvature, by power iteration
+        u = np.bincount(column, (weight * np.bincount(at, v[column], n))[at], len(slots))
+        norm = max(float(np.linalg.norm(u)), 1e-12)
+        v = u / norm
+    rate = 1 / (0.3 * norm + 0.5)
+    w = z = np.zeros(len(slots))
+    bias = bias_z = 0.0
+    t = 1.0
     for _ in range(rounds):
-        z = np.bincount(at, w[column], len(rows)) + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * weight
-        g = np.bincount(column, error[at], len(slots)) / len(rows) + ridge * w
-        step += g * g
-        w -= 0.5 * g / np.sqrt(step)
-        bias_step += error.mean() ** 2
-        bias -= 0.5 * error.mean() / math.sqrt(bias_step)
-    kept = np.flatnonzero((seen >= least) & (np.abs(w) > 1e-4))
+        error = (1 / (1 + np.exp(-np.clip(np.bincount(at, z[column], n) + bias_z, -50, 50))) - y) * weight
+        moved = z - rate * np.bincount(column, error[at], len(slots))
+        w, before = np.sign(moved) * np.maximum(np.abs(moved) - rate * sparse, 0), w
+        bias, bias_before = bias_z - rate * error.sum(), bias
+        t, last = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
+        z, bias_z = w + (last - 1) / t * (w - before), bias + (last - 1) / t * (bias - bias_before)
+    kept = np.flatnonzero((seen >= least) & (w != 0))
     return float(bias), dict(zip(slots[kept].tolist(), w[kept].tolist(), strict=True))
 
 
