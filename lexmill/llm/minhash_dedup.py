@@ -2,7 +2,7 @@
 
 Documents with one shingle set are one node from the start. Each bucket of a band proposes edges to its hub alone, the
 member that shares buckets with most others, so a bucket of n nodes makes n - 1 pairs. Pairs are confirmed on the full
-sets. Members that the hub turns down form the bucket anew, with a hub of their own, until none are left.
+sets. Members that the hub turns down meet again, where they share two buckets, with hubs of their own, until none are left.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lexmill.functions.ship import ship
 
@@ -73,33 +74,52 @@ def _full_sets(t: DataFrame, k: int) -> DataFrame:
     return t.select("node", "_text").mapInArrow(run, schema)
 
 
-def _pairs(buckets: DataFrame) -> DataFrame:
-    """Star edges (bucket, node, hub, score): each bucket's members with its hub, the member of the highest score."""
-    hubs = buckets.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("_top"), F.count(F.lit(1)).alias("_size")).where("_size > 1").select("bucket", F.col("_top.node").alias("hub"))
-    return buckets.join(hubs, "bucket").where(F.col("node") != F.col("hub"))
+def _stars(members: DataFrame, hubs: int) -> DataFrame:
+    """Edges (bucket, node, hub, score) of each bucket's members (bucket, node, score) with its ``hubs`` of highest score."""
+    if hubs == 1:
+        top = members.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("_top"), F.count(F.lit(1)).alias("_size")).where("_size > 1").select("bucket", "_top")
+    else:
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("score").desc(), F.col("node").desc()))
+        top = members.withColumn("_rank", rank).where(F.col("_rank") <= hubs).select("bucket", F.struct("score", "node").alias("_top"))
+    return members.join(top, "bucket").where(F.struct("score", "node") < F.col("_top")).select("bucket", "node", F.col("_top.node").alias("hub"), "score")
+
+
+def _narrowed(members: DataFrame) -> DataFrame:
+    """Members by pairs of buckets instead: nodes meet again where they share two."""
+    own = members.groupBy("node", "score").agg(F.sort_array(F.collect_set("bucket")).alias("_b"))  # as many as bands at most
+    twos = F.flatten(F.transform("_b", lambda x, i: F.transform(F.slice("_b", i + 2, F.size("_b")), lambda y: F.xxhash64(x, y))))
+    return own.select(F.explode(twos).alias("bucket"), "node", "score")
 
 
 def star_links(members: DataFrame, full_sets, percent: int) -> DataFrame:
     """Confirmed edges (node, hub) between the distinct ``members`` (bucket, node).
 
     ``full_sets`` gives (node, set) for a table of nodes. A node's score is the number of nodes that its buckets hold, so
-    that the text which most copies still resemble becomes the hub.
+    that the text which most copies still resemble becomes the hub. Members that no hub of their bucket is linked with
+    come again with twice as many hubs, and from the second round on in pairs of buckets, which nodes that are not alike
+    seldom share, until every member has been a hub or found one.
     """
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
     crowded = C.stored(members.join(shared, "bucket").select("bucket", "node", "_size"), "buckets")
     score = crowded.groupBy("node").agg(F.sum("_size").alias("score"))
     sets = C.stored(full_sets(score.select("node")), "sets")
-    todo = C.stored(_pairs(crowded.select("bucket", "node").join(score, "node")), "stars")
+    left, right = sets.select("node", F.col("set").alias("_x")), sets.select(F.col("node").alias("hub"), F.col("set").alias("_y"))
+    both = F.size(F.array_intersect("_x", "_y"))
+    linked = (100 * both >= percent * (F.size("_x") + F.size("_y") - both)).alias("linked")
+    todo, hubs = C.stored(_stars(crowded.select("bucket", "node").join(score, "node"), 1), "stars"), 1
     edges = crowded.select("node", F.col("node").alias("hub")).limit(0)
     while not todo.isEmpty():
         pairs = todo.select("node", "hub").distinct()
-        left, right = sets.select("node", F.col("set").alias("_x")), sets.select(F.col("node").alias("hub"), F.col("set").alias("_y"))
-        both = F.size(F.array_intersect("_x", "_y"))
-        verdict = pairs.join(left, "node").join(right, "hub").select("node", "hub", (100 * both >= percent * (F.size("_x") + F.size("_y") - both)).alias("linked"))
-        verdict = C.stored(verdict, "verdicts")
+        verdict = C.stored(pairs.join(left, "node").join(right, "hub").select("node", "hub", linked), "verdicts")
         edges = edges.unionByName(verdict.where("linked").select("node", "hub"))
-        turned_down = todo.join(verdict.where(~F.col("linked")), ["node", "hub"]).select("bucket", "node", "score")
-        todo = C.stored(_pairs(turned_down), "stars")
+        judged = todo.join(verdict, ["node", "hub"]).groupBy("bucket", "node", "score").agg(F.max("linked").alias("_found"))
+        alone = judged.where("NOT _found").select("bucket", "node", "score")
+        if hubs > 1:  # members that were hubs are done
+            asked = todo.select("bucket", F.col("hub").alias("node")).distinct()
+            alone = alone.join(asked, ["bucket", "node"], "left_anti")
+        alone = _narrowed(alone) if hubs == 1 else alone
+        hubs *= 2
+        todo = C.stored(_stars(alone, hubs), "stars")
     return edges
 
 
