@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from lexmill.plans import job_queries, label_queries, text_queries, zh_queries
+
+_ALL = {**text_queries.QUERIES, **zh_queries.QUERIES, **job_queries.QUERIES, **label_queries.QUERIES}
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return text_queries.q_flagship(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {name: fn for name, (fn, _) in _ALL.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
