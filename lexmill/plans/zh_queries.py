@@ -1 +1,71 @@
-QUERIES: dict = {}
+"""Queries of the rules for Chinese texts over a corpus that both engines make from ``customer`` by the same arithmetic.
+
+The expected spans follow from string lengths, so the SQL holds no pattern.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexmill.operators import audit, recognize
+
+
+def _lpad(c, n):
+    return F.lpad(c.cast("string"), n, "0")
+
+
+def zh_docs(spark, d):
+    """(doc_id, text): one record per customer, its label, name, phone, identity number, account, date, amount and contract."""
+    c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    body = F.concat(F.lit("11010119"), _lpad(F.col("k") % 30 + 60, 2), _lpad(F.col("k") % 12 + 1, 2), _lpad(F.col("k") % 28 + 1, 2), _lpad(F.col("k") % 1000, 3))
+    weights = [7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2]
+    total = sum((F.substring("body", i + 1, 1).cast("int") * w for i, w in enumerate(weights)), F.lit(0))
+    c = c.withColumn("body", body).withColumn("check", F.substring(F.lit("10X98765432"), total % 11 + 1, F.lit(1)))
+    text = F.concat(
+        F.lit("编号"), F.col("k").cast("string"), F.lit("：手机 138"), _lpad(F.col("k"), 8), F.lit("，证件 "), "body", "check", F.lit("。\n日期20"), _lpad(F.col("k") % 100, 2), F.lit("年"), (F.col("k") % 12 + 1).cast("string"), F.lit("月"), (F.col("k") % 28 + 1).cast("string"),
+        F.lit("日 合计"), (F.col("k") * 7).cast("string"), F.lit("万元 合同编号：HT-"), _lpad(F.col("k"), 6), F.lit("，账号：6222"), _lpad(F.col("k"), 12), F.lit("；邮箱 u"), F.col("k").cast("string"), F.lit("@例.test 传真：010-8"), _lpad(F.col("k") % 1000000, 7),
+    )
+    return c.select(F.col("k").alias("doc_id"), text.alias("text"))
+
+
+def found(*names):
+    rules = recognize.rules_named(*names)
+    return lambda spark, d: recognize.exploded(recognize.recognize(zh_docs(spark, d), rules)).select("doc_id", "start", "end", "surface")
+
+
+#: Start of each field: what stands before it is of known length.
+_K = "length(CAST(c_custkey AS VARCHAR))"
+_P = f"2 + {_K} + 4"  # the phone
+_I = f"{_P} + 11 + 4"  # the identity number
+_D = f"{_I} + 18 + 4"  # the date
+_DL = "(4 + 1 + length(CAST(c_custkey % 12 + 1 AS VARCHAR)) + 1 + length(CAST(c_custkey % 28 + 1 AS VARCHAR)) + 1)"
+_M = f"{_D} + {_DL} + 3"  # the amount
+_ML = "(length(CAST(c_custkey * 7 AS VARCHAR)) + 2)"
+_C = f"{_M} + {_ML} + 6"  # the contract number
+_A = f"{_C} + 9 + 4"  # the account
+
+
+def _sql(start, length, surface):
+    return f'SELECT c_custkey AS doc_id, CAST({start} AS INT) AS start, CAST({start} + {length} AS INT) AS "end", {surface} AS surface FROM customer'
+
+
+_KV = "CAST(c_custkey AS VARCHAR)"
+_BODY = "'11010119' || lpad(CAST(c_custkey % 30 + 60 AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 12 + 1 AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0')"
+_CHECK = "('10X98765432')[CAST(list_sum(list_transform(range(1, 18), lambda i: CAST(b[i] AS INT) * ([7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2])[i])) % 11 + 1 AS BIGINT)]"
+ID_SQL = f'SELECT c_custkey AS doc_id, CAST({_I} AS INT) AS start, CAST({_I} + 18 AS INT) AS "end", b || {_CHECK} AS surface FROM (SELECT c_custkey, {_BODY} AS b FROM customer)'
+
+# The rule takes a day of one digit first and 日 if it follows: of the 27th it has the 2.
+_DATE = "('20' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '年' || (c_custkey % 12 + 1) || '月' || CASE WHEN c_custkey % 28 + 1 < 10 THEN (c_custkey % 28 + 1) || '日' ELSE left(CAST(c_custkey % 28 + 1 AS VARCHAR), 1) END)"
+
+QUERIES = {
+    "rec_idcard18": (found("cn_id_18"), ID_SQL),
+    "rec_phone": (found("mobile"), _sql(_P, "11", f"'138' || lpad({_KV}, 8, '0')")),
+    "rec_date": (found("date_cn"), _sql(_D, f"length({_DATE})", _DATE)),
+    "rec_amount": (found("amount_with_unit"), _sql(_M, _ML, "c_custkey * 7 || '万元'")),
+    "rec_contract": (found("contract_id_label"), _sql(_C, "9", f"'HT-' || lpad({_KV}, 6, '0')")),
+    "rec_account_label": (found("account_context"), _sql(_A, "16", f"'6222' || lpad({_KV}, 12, '0')")),
+    "audit_shapes": (
+        lambda s, d: audit.findings(zh_docs(s, d)).where(F.col("category").isin("PHONE", "ID_CARD", "BANK_ACCOUNT")).select("doc_id", "line", "category"),
+        "SELECT c_custkey AS doc_id, CAST(unnest([1, 1, 2]) AS INT) AS line, unnest(['PHONE', 'ID_CARD', 'BANK_ACCOUNT']) AS category FROM customer",
+    ),
+}
