@@ -104,7 +104,7 @@ def assemble(numbered: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def organize(docs: DataFrame, most_blank: int = 2, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Line-wise organisation without broken-line merging: see ``organize_text`` in sources.udfs for the whole normaliser."""
+    """Line-wise organisation; broken lines are not merged and compatibility forms not folded."""
     numbered = fenced(lines(docs.select(id_col, plain_spaces(newlines(F.col(text_col))).alias(text_col)), id_col=id_col, text_col=text_col), id_col)
     kind = classify(F.col("line"))
     tidy = F.when(F.col("in_code"), F.regexp_replace("line", "[ \\t]+\\z", "")).when(kind == "TABLE", table_row(F.col("line"))).otherwise(plain_line(F.col("line"), kind.isin("LIST", "HEADING")))

@@ -28,6 +28,27 @@ def zh_docs(spark, d):
     return c.select(F.col("k").alias("doc_id"), text.alias("text"))
 
 
+SURNAMES, GIVEN = "张王李赵陈", "伟芳娜敏静强磊洋"
+#: Companies of the dictionary query.
+COMPANIES = ("甲乙丙科技有限公司", "丁戊银行", "乙丙科技")
+
+
+def zh_people(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    name = F.concat(F.substring(F.lit(SURNAMES), (F.col("k") % 5 + 1).cast("int"), F.lit(1)), F.substring(F.lit(GIVEN), (F.col("k") % 8 + 1).cast("int"), F.lit(1)))
+    text = F.concat(F.lit("单"), F.col("k").cast("string"), F.lit(" 联系人："), name, F.lit("；注册地址："), (F.col("k") % 90).cast("string"), F.lit("号楼"), F.lit("；"), F.lit("甲乙丙科技有限公司与丁戊银行"))
+    return c.select(F.col("k").alias("doc_id"), text.alias("text"))
+
+
+def found_in(rules):
+    return lambda spark, d: recognize.exploded(recognize.recognize(zh_people(spark, d), rules)).select("doc_id", "start", "end", "surface")
+
+
+def q_dictionary(spark, d):
+    names = spark.createDataFrame([(c,) for c in COMPANIES], "name string")
+    return recognize.dictionary_spans(zh_people(spark, d), names)
+
+
 def found(*names):
     rules = recognize.rules_named(*names)
     return lambda spark, d: recognize.exploded(recognize.recognize(zh_docs(spark, d), rules)).select("doc_id", "start", "end", "surface")
@@ -64,6 +85,12 @@ QUERIES = {
     "rec_amount": (found("amount_with_unit"), _sql(_M, _ML, "c_custkey * 7 || '万元'")),
     "rec_contract": (found("contract_id_label"), _sql(_C, "9", f"'HT-' || lpad({_KV}, 6, '0')")),
     "rec_account_label": (found("account_context"), _sql(_A, "16", f"'6222' || lpad({_KV}, 12, '0')")),
+    "rec_person_ctx": (found_in(recognize.person_rules(SURNAMES)), _sql(f"1 + {_K} + 5", "2", "('张王李赵陈')[c_custkey % 5 + 1] || ('伟芳娜敏静强磊洋')[c_custkey % 8 + 1]")),
+    "rec_address": (found_in(recognize.address_rules()), _sql(f"1 + {_K} + 5 + 2 + 6", "(length(CAST(c_custkey % 90 AS VARCHAR)) + 2)", "c_custkey % 90 || '号楼'")),
+    "rec_org_dict": (
+        q_dictionary,
+        " UNION ALL ".join(_sql(f"1 + {_K} + 5 + 2 + 6 + length(CAST(c_custkey % 90 AS VARCHAR)) + 3 + {off}", str(len(n)), f"'{n}'") for n, off in (("甲乙丙科技有限公司", 0), ("乙丙科技", 1), ("丁戊银行", 10))),
+    ),
     "audit_shapes": (
         lambda s, d: audit.findings(zh_docs(s, d)).where(F.col("category").isin("PHONE", "ID_CARD", "BANK_ACCOUNT")).select("doc_id", "line", "category"),
         "SELECT c_custkey AS doc_id, CAST(unnest([1, 1, 2]) AS INT) AS line, unnest(['PHONE', 'ID_CARD', 'BANK_ACCOUNT']) AS category FROM customer",
