@@ -21,6 +21,8 @@ from .components import components
 
 #: 40 bands of 6 rows: a pair at 0.8 shares no band with probability 5e-6, one at 0.3 shares one with 3 %.
 BANDS, ROWS = 40, 6
+#: Pairs of nodes (32 bytes each) that are sent to every executor at most.
+FEW_PAIRS = 200_000
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -110,7 +112,10 @@ def star_links(members: DataFrame, full_sets, percent: int) -> DataFrame:
     edges = crowded.select("node", F.col("node").alias("hub")).limit(0)
     while not todo.isEmpty():
         pairs = todo.select("node", "hub").distinct()
-        verdict = C.stored(pairs.join(left, "node").join(right, "hub").select("node", "hub", linked), "verdicts")
+        # Few pairs go to the sets, many pairs and the sets are dealt out by node; then a side's sets meet the other's.
+        few = F.broadcast if C.at_most(pairs, FEW_PAIRS) else (lambda df: df)
+        x, y = left.join(few(pairs), "node"), right.join(few(pairs.select("hub").distinct()), "hub")
+        verdict = C.stored(x.join(y, "hub").select("node", "hub", linked), "verdicts")
         edges = edges.unionByName(verdict.where("linked").select("node", "hub"))
         judged = todo.join(verdict, ["node", "hub"]).groupBy("bucket", "node", "score").agg(F.max("linked").alias("_found"))
         alone = judged.where("NOT _found").select("bucket", "node", "score")
@@ -142,7 +147,8 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
         return _full_sets(texts, k).dropDuplicates(["node"])
 
     # Copies of a set fall together here, before anything is dealt out by bucket.
-    edges = star_links(signed.where("node IS NOT NULL").select(F.explode("bands").alias("bucket"), "node").distinct(), full_sets, percent)
+    once = signed.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"))
+    edges = star_links(once.select(F.explode("bands").alias("bucket"), "node"), full_sets, percent)
     found = components(edges, "node", "hub")
 
     of = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
