@@ -2,17 +2,17 @@
 
 Documents with one shingle set are one node from the start. Each bucket of a band proposes edges to its hub alone, the
 member that shares buckets with most others, so a bucket of n nodes makes n - 1 pairs. Pairs are confirmed on the full
-sets. Members that the hub turns down meet again, where they share two buckets, with hubs of their own, until none are left.
+sets. Then all members of a bucket that are not in one component yet meet each other, so that no link within a bucket is lost.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from lexmill.functions.ship import ship
 
@@ -23,6 +23,8 @@ from .components import components
 BANDS, ROWS = 40, 6
 #: Pairs of nodes (32 bytes each) that are sent to every executor at most.
 FEW_PAIRS = 200_000
+#: Members of a bucket that meet in one block of pairs, and pairs that are compared at once.
+BLOCK, AT_ONCE = 256, 500
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -76,30 +78,61 @@ def _full_sets(t: DataFrame, k: int) -> DataFrame:
     return t.select("node", "_text").mapInArrow(run, schema)
 
 
-def _stars(members: DataFrame, hubs: int) -> DataFrame:
-    """Edges (bucket, node, hub, score) of each bucket's members (bucket, node, score) with its ``hubs`` of highest score."""
-    if hubs == 1:
-        top = members.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("_top"), F.count(F.lit(1)).alias("_size")).where("_size > 1").select("bucket", "_top")
-    else:
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("score").desc(), F.col("node").desc()))
-        top = members.withColumn("_rank", rank).where(F.col("_rank") <= hubs).select("bucket", F.struct("score", "node").alias("_top"))
-    return members.join(top, "bucket").where(F.struct("score", "node") < F.col("_top")).select("bucket", "node", F.col("_top.node").alias("hub"), "score")
+def _stars(members: DataFrame) -> DataFrame:
+    """Edges (node, hub) of each bucket's members (bucket, node, score) with the one of highest score."""
+    top = members.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("_top"))
+    return members.join(top, "bucket").where(F.struct("score", "node") < F.col("_top")).select("node", F.col("_top.node").alias("hub")).distinct()
 
 
-def _narrowed(members: DataFrame) -> DataFrame:
-    """Members by pairs of buckets instead: nodes meet again where they share two."""
-    own = members.groupBy("node", "score").agg(F.sort_array(F.collect_set("bucket")).alias("_b"))  # as many as bands at most
-    twos = F.flatten(F.transform("_b", lambda x, i: F.transform(F.slice("_b", i + 2, F.size("_b")), lambda y: F.xxhash64(x, y))))
-    return own.select(F.explode(twos).alias("bucket"), "node", "score")
+def _unmet(members: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (node, hub), node < hub, of the members (bucket, node, component, n) that share a bucket but no component.
+
+    Pairs whose sizes ``n`` alone rule a link out are left away, and so are buckets of two, whose pair is a star's. A large
+    bucket's members are dealt to blocks, and any two blocks meet by themselves.
+    """
+    held = members.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_size"))
+    mixed = held.where("_size > 2 AND _a <> _b").select("bucket", F.ceil(F.col("_size") / BLOCK).alias("_blocks"))
+    own = members.join(mixed, "bucket").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")))
+    cells = own.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).select("bucket", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"), "node", "component", "n", "_own")
+    other = cells.select("bucket", "_lo", "_hi", F.col("node").alias("hub"), F.col("component").alias("_c"), F.col("n").alias("_n"), F.col("_own").alias("_o"))
+    apart = (F.col("node") < F.col("hub")) & (F.col("component") != F.col("_c")) & (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n"))
+    once = (F.col("_own") != F.col("_o")) | (F.col("_lo") == F.col("_hi"))
+    return cells.join(other, ["bucket", "_lo", "_hi"]).where(apart & once).select("node", "hub").distinct()
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (node, hub), stored, whose ``sets`` (node, set) are linked.
+
+    Pairs are dealt to a square of cells by the hashes of both nodes, so that a set goes to a cell once for all its pairs there.
+    """
+    side = max(1, math.ceil(math.sqrt(pairs.count() / AT_ONCE)))
+    row, column = (F.pmod(F.xxhash64(c), F.lit(side)) for c in ("node", "hub"))
+    dealt = pairs.select((row * side + column).alias("cell"), "node", "hub")
+    wanted = dealt.select(F.col("cell").alias("at"), F.col("node").alias("name")).unionByName(dealt.select(F.col("cell").alias("at"), F.col("hub").alias("name"))).distinct()
+    held = wanted.join(sets.select(F.col("node").alias("name"), "set"), "name").select("at", "name", "set")
+    schema = pairs.schema
+
+    def run(found, known):
+        import numpy as np
+        import pyarrow as pa
+
+        names = [(x["a"], x["b"]) for x in known.column("name").to_pylist()]
+        of = dict(zip(names, (np.asarray(x.values) for x in known.column("set")), strict=True))
+        keep = []
+        for x, y in zip(found.column("node").to_pylist(), found.column("hub").to_pylist(), strict=True):
+            x, y = of[x["a"], x["b"]], of[y["a"], y["b"]]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(100 * both >= percent * (len(x) + len(y) - both))
+        return found.select(["node", "hub"]).filter(pa.array(keep, pa.bool_()))
+
+    return dealt.groupBy("cell").cogroup(held.groupBy("at")).applyInArrow(run, schema)
 
 
 def star_links(members: DataFrame, full_sets, percent: int) -> DataFrame:
-    """Confirmed edges (node, hub) between the distinct ``members`` (bucket, node).
+    """Edges (node, hub) between the distinct ``members`` (bucket, node): all linked pairs within a bucket have a path of them.
 
     ``full_sets`` gives (node, set) for a table of nodes. A node's score is the number of nodes that its buckets hold, so
-    that the text which most copies still resemble becomes the hub. Members that no hub of their bucket is linked with
-    come again with twice as many hubs, and from the second round on in pairs of buckets, which nodes that are not alike
-    seldom share, until every member has been a hub or found one.
+    that the text which most copies still resemble becomes the hub. What the hubs' links do not connect meets pair by pair.
     """
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
     crowded = C.stored(members.join(shared, "bucket").select("bucket", "node", "_size"), "buckets")
@@ -108,24 +141,17 @@ def star_links(members: DataFrame, full_sets, percent: int) -> DataFrame:
     left, right = sets.select("node", F.col("set").alias("_x")), sets.select(F.col("node").alias("hub"), F.col("set").alias("_y"))
     both = F.size(F.array_intersect("_x", "_y"))
     linked = (100 * both >= percent * (F.size("_x") + F.size("_y") - both)).alias("linked")
-    todo, hubs = C.stored(_stars(crowded.select("bucket", "node").join(score, "node"), 1), "stars"), 1
-    edges = crowded.select("node", F.col("node").alias("hub")).limit(0)
-    while not todo.isEmpty():
-        pairs = todo.select("node", "hub").distinct()
-        # Few pairs go to the sets, many pairs and the sets are dealt out by node; then a side's sets meet the other's.
-        few = F.broadcast if C.at_most(pairs, FEW_PAIRS) else (lambda df: df)
-        x, y = left.join(few(pairs), "node"), right.join(few(pairs.select("hub").distinct()), "hub")
-        verdict = C.stored(x.join(y, "hub").select("node", "hub", linked), "verdicts")
-        edges = edges.unionByName(verdict.where("linked").select("node", "hub"))
-        judged = todo.join(verdict, ["node", "hub"]).groupBy("bucket", "node", "score").agg(F.max("linked").alias("_found"))
-        alone = judged.where("NOT _found").select("bucket", "node", "score")
-        if hubs > 1:  # members that were hubs are done
-            asked = todo.select("bucket", F.col("hub").alias("node")).distinct()
-            alone = alone.join(asked, ["bucket", "node"], "left_anti")
-        alone = _narrowed(alone) if hubs == 1 else alone
-        hubs *= 2
-        todo = C.stored(_stars(alone, hubs), "stars")
-    return edges
+    pairs = C.stored(_stars(crowded.select("bucket", "node").join(score, "node")), "stars")
+    # Few pairs go to the sets, many pairs and the sets are dealt out by node; then a side's sets meet the other's.
+    few = F.broadcast if C.at_most(pairs, FEW_PAIRS) else (lambda df: df)
+    x, y = left.join(few(pairs), "node"), right.join(few(pairs.select("hub").distinct()), "hub")
+    verdict = C.stored(x.join(y, "hub").select("node", "hub", linked), "verdicts")
+    found = C.stored(components(verdict.where("linked").select("node", "hub"), "node", "hub"), "components")
+    named = sets.select("node", F.size("set").alias("n")).join(found, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
+    met = verdict.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub"))
+    unmet = C.stored(_unmet(crowded.select("bucket", "node").join(named, "node"), percent).join(met, ["node", "hub"], "left_anti"), "unmet")
+    more = C.stored(_linked(unmet, sets, percent), "links")
+    return found.select("node", F.col("component").alias("hub")).unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -79,6 +79,42 @@ def test_near_duplicates(spark):
     assert minhash_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def linked_groups(spark, buckets, sets):
+    """Components of star_links over ``buckets`` (lists of nodes) with ``sets`` by node, at 80 %."""
+    node = lambda i: (i, i)
+    members = spark.createDataFrame([(b, node(i)) for b, m in enumerate(buckets) for i in m], "bucket long, node struct<a: long, b: long>")
+    held = spark.createDataFrame([(node(i), sorted(s)) for i, s in sets.items()], "node struct<a: long, b: long>, set array<long>")
+    edges = minhash_dedup.star_links(members, lambda wanted: held.join(wanted, "node"), 80).collect()
+    return least_reachable(sets, [(e.node.a, e.hub.a) for e in edges])
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_found_members_still_meet_others(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block, raising=False)
+    # 3 is the hub; it is linked with 1, which is linked with 2, and 2 is not linked with the hub. 4 is alone.
+    sets = {3: range(100), 1: range(10, 110), 2: range(20, 120), 4: range(60, 160), **{i: range(1000 * i, 1000 * i + 100) for i in range(5, 9)}}
+    sets = {i: set(s) for i, s in sets.items()}
+    assert linked_groups(spark, [[1, 2, 3, 4], *([3, i] for i in range(5, 9))], sets) == {1: 1, 2: 1, 3: 1, **{i: i for i in range(4, 9)}}
+
+
+def test_variants_of_one_text(spark):
+    rnd = random.Random(300)
+    words = [f"w{i}" for i in range(900)]
+    base = [rnd.choice(words) for _ in range(200)]
+    texts = []
+    for _ in range(300):
+        w = list(base)
+        for i in rnd.sample(range(200), rnd.randint(4, 9)):
+            w[i] = rnd.choice(words)
+        texts.append(" ".join(w))
+    sets = {i: {tuple(t.split()[j : j + 2]) for j in range(199)} for i, t in enumerate(texts)}
+    edges = [(a, b) for a in sets for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = least_reachable(sets, edges)
+    assert 1 < len(set(want.values())) < 290
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(df, k=2).collect()} == want
+
+
 def removed(texts, length):
     data = [(t or "").encode() for t in texts]
     count = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
