@@ -97,6 +97,14 @@ def test_found_members_still_meet_others(spark, monkeypatch, block):
     assert linked_groups(spark, [[1, 2, 3, 4], *([3, i] for i in range(5, 9))], sets) == {1: 1, 2: 1, 3: 1, **{i: i for i in range(4, 9)}}
 
 
+def test_members_with_one_common_bucket_meet(spark):
+    # 2 and 3 are linked and share one bucket alone, whose hub turns both down; 2 has found a hub elsewhere, as has 3.
+    sets = {9: range(100), 2: range(200, 300), 3: range(210, 310), 7: range(190, 290), 8: range(220, 320), **{i: range(1000 * i, 1000 * i + 100) for i in range(20, 30)}}
+    sets = {i: set(s) for i, s in sets.items()}
+    buckets = [[9, 2, 3], [7, 2], [8, 3], *([9, i] for i in range(20, 26)), *([7, i] for i in (26, 27)), *([8, i] for i in (28, 29))]
+    assert linked_groups(spark, buckets, sets) == {9: 9, 2: 2, 3: 2, 7: 2, 8: 2, **{i: i for i in range(20, 30)}}
+
+
 def test_variants_of_one_text(spark):
     rnd = random.Random(300)
     words = [f"w{i}" for i in range(900)]
