@@ -51,15 +51,15 @@ def base_statistics(t: DataFrame) -> DataFrame:
 def _lines(t: DataFrame) -> DataFrame:
     """One row for each line with a word: _id, _key, _host, its place, hash and words, and its document's fingerprint.
 
-    Lines are lower-cased (A-Z), their runs of digits made 0 and their spaces single. The fingerprint is the least line hash of the
-    document, so that copies and most near copies of one document have one and count once.
+    Lines are lower-cased (A-Z), their runs of digits made 0 and their spaces single. The fingerprint is a hash of the sorted set of
+    all the document's line hashes, so that copies of one document have one and count once, and other documents never do.
     """
     text = F.regexp_replace(C.ascii_lower("_text"), "[0-9]+", "0")
     lines = F.filter(F.transform(F.split(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     parted = t.select("_id", "_key", "_host", lines.alias("_l"))
-    each = parted.select("_id", "_key", "_host", F.transform("_l", lambda x: F.struct(F.xxhash64(x).alias("h"), F.md5(x).alias("m"), F.size(F.split(x, " ")).alias("n"))).alias("_s"))
-    printed = each.select("_id", "_key", "_host", F.array_min(F.transform("_s", lambda s: s["m"])).alias("_m"), F.transform("_s", lambda s: F.struct(s["h"].alias("h"), s["n"].alias("n"))).alias("_s"))
-    return printed.select("_id", "_key", "_host", F.xxhash64("_m").alias("_print"), F.posexplode("_s").alias("_at", "_line")).select("_id", "_key", "_host", "_print", "_at", F.col("_line.h").alias("_line"), F.col("_line.n").alias("_n"))
+    each = parted.select("_id", "_key", "_host", F.transform("_l", lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("n"))).alias("_s"))
+    printed = each.withColumn("_print", F.xxhash64(F.array_sort(F.array_distinct("_s.h"))))
+    return printed.select("_id", "_key", "_host", "_print", F.posexplode("_s").alias("_at", "_line")).select("_id", "_key", "_host", "_print", "_at", F.col("_line.h").alias("_line"), F.col("_line.n").alias("_n"))
 
 
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 10, max_repeat_percent: int = 20, max_documents: int = 10, min_left: float = 0.25) -> DataFrame:

@@ -82,6 +82,19 @@ def test_frequent_lines_go(spark):
     assert all(r.kept for r in quality_rules.quality_rules(df, max_repeat_percent=100, max_documents=20).collect() if r.doc_id < 44)
 
 
+def test_documents_with_one_common_line_count_each(spark):
+    rnd = random.Random(8)
+    lines = [f"boilerplate {'abcdefgh'[i] * 4} that some pages have" for i in range(8)]
+    texts = ["\n".join([*rnd.sample(lines, 4), f"own words of {''.join(rnd.choice('abcdefgh') for _ in range(9))} alone"]) for _ in range(40)]
+    texts += texts[:9]
+    own = [[x.lower() for x in t.split("\n")] for t in texts]
+    held = {x: {frozenset(d) for d in own if x in d} for d in own for x in d}
+    want = {i: sum(len(x.split()) for x in d if len(held[x]) > 20) for i, d in enumerate(own)}
+    assert any(want.values()) and any(12 <= len(v) <= 20 for v in held.values())
+    df = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert {r.doc_id: r.n_removed_words for r in quality_rules.quality_rules(df, max_documents=20).collect()} == want
+
+
 @pytest.mark.parametrize("broadcast", [50_000, -1])
 def test_decontamination(spark, docs, none, monkeypatch, broadcast):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
