@@ -15,7 +15,7 @@ STATUS = ("running", "succeeded", "failed", "waiting", "cancelled")
 
 
 def jobs(spark, d):
-    o = read(spark, d, "orders").where("o_orderkey % 5 = 0")
+    o = read(spark, d, "orders")
     status = F.element_at(F.array(*map(F.lit, STATUS)), (F.col("o_orderkey") % 5000 / 5 % 5 + 1).cast("int"))
     beat = F.when(F.col("o_orderkey") % 35 == 0, "unknown").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
     return o.select(F.col("o_orderkey").alias("job_id"), status.alias("status"), F.col("o_orderdate").alias("created_at"), beat.alias("heartbeat"))
