@@ -65,7 +65,7 @@ def q_masked(spark, d):
 
 
 def q_flagship(spark, d):
-    m = masked(spark, d)
+    m = masking.mask(docs(spark, d))  # the whole policy
     counts = m["accepted"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_accepted"), F.count_if("anonymize").alias("n_masked"))
     return m["masked"].join(counts, "doc_id", "left").select("doc_id", F.sha2("masked", 256).alias("masked_sha256"), F.coalesce("n_accepted", F.lit(0)).alias("n_accepted"), F.coalesce("n_masked", F.lit(0)).alias("n_masked"))
 
