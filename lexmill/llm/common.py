@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,11 +30,20 @@ def rows(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "t
     return docs.select(docs[id_col].alias("_id"), text.alias("_text"), *(docs[c].alias(f"_{c}") for c in more)).withColumn("_key", F.xxhash64("_text"))
 
 
+#: Rows of an id and a key (some 16 bytes each) that are sent to every executor at most.
+FEW_ROWS = 1_000_000
+
+
 def without(docs: DataFrame, verdicts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, whole, but those whose id and content key are in ``verdicts``."""
-    gone = verdicts.select(verdicts[id_col].alias("_gone_id"), verdicts["_key"].alias("_gone_key"))
+    """The rows of ``docs``, whole, but those whose id and content key are in ``verdicts``.
+
+    Up to FEW_ROWS of them, which are counted first, go to the documents, so that no text is shuffled; more meet the
+    documents by id and key.
+    """
+    gone = stored(verdicts.select(verdicts[id_col].alias("_gone_id"), verdicts["_key"].alias("_gone_key")), "gone")
     key = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (key == gone["_gone_key"]), "left_anti")
+    few = F.broadcast(gone) if at_most(gone, FEW_ROWS) else gone
+    return docs.join(few, docs[id_col].eqNullSafe(gone["_gone_id"]) & (key == gone["_gone_key"]), "left_anti")
 
 
 def ascii_lower(c: Column | str) -> Column:
@@ -51,28 +61,52 @@ def at_most(df: DataFrame, n: int) -> bool:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one is set only where the session names none, as in tests."""
+    """The shared folder of spark.checkpoint.dir. Where the session names none, a local one is set, but on a local master alone."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='lexmill-')}")
         current = sc.getCheckpointDir()
     return named or current
 
 
+#: Removes a query's shuffle files once its result is written; nothing reads them again.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexmill-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows written as Parquet to the shared folder and read again: cuts lineage and outlives executors."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexmill/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what has just been written
+    path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexmill_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table of ``stored`` that nothing reads any more."""
-    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._lexmill_path)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._lexmill_path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes every table that this application has stored; for the end, when all results have been written."""
+    _delete(spark, _folder(spark))
