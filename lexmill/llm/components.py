@@ -30,7 +30,8 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _with_least(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = C.stored(small, "edges")
+        edges, old = C.stored(small, "edges"), edges
+        C.discard(old)
         after = _state(edges)
         if after == before:
             break

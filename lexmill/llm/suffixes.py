@@ -37,12 +37,12 @@ def _sliding(x: np.ndarray, width: int, least) -> np.ndarray:
     return least(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
-def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(h: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, lo, hi): each anchor with the starts lo to hi of the windows that it stands for.
 
-    A window of ``window`` bytes stands at the first of its least gram hashes, so equal windows stand at equal places.
+    A window of ``window`` bytes (or words) stands at the first of its least ``gram`` hashes, so equal windows stand at equal places.
     """
-    width = window - GRAM + 1
+    width = window - gram + 1
     n = len(h) - width + 1  # windows
     least = _sliding(h, width, np.minimum)
     # The last place that the first of the least hashes has moved to, window by window.

@@ -7,9 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from lexmill.llm import minhash_dedup, suffix_dedup
+from lexmill.llm import minhash_dedup, paragraph_dedup, shingles, suffix_dedup
 from lexmill.llm.components import components
-from lexmill.llm.shingles import band_keys
+from lexmill.llm.shingles import band_keys, band_keys_of, common_counts
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -88,9 +88,10 @@ def linked_groups(spark, buckets, sets):
     return least_reachable(sets, [(e.node.a, e.hub.a) for e in edges])
 
 
-@pytest.mark.parametrize("block", [256, 2])
-def test_found_members_still_meet_others(spark, monkeypatch, block):
-    monkeypatch.setattr(minhash_dedup, "BLOCK", block, raising=False)
+@pytest.mark.parametrize(("small", "block"), [(8, 512), (1, 512), (1, 2)])
+def test_found_members_still_meet_others(spark, monkeypatch, small, block):
+    monkeypatch.setattr(minhash_dedup, "SMALL", small)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
     # 3 is the hub; it is linked with 1, which is linked with 2, and 2 is not linked with the hub. 4 is alone.
     sets = {3: range(100), 1: range(10, 110), 2: range(20, 120), 4: range(60, 160), **{i: range(1000 * i, 1000 * i + 100) for i in range(5, 9)}}
     sets = {i: set(s) for i, s in sets.items()}
@@ -123,6 +124,26 @@ def test_variants_of_one_text(spark):
     assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(df, k=2).collect()} == want
 
 
+def test_truncated_copies(spark):
+    # Of each text longer copies, its first 98 % and its first 79 %: the last two are linked, the last and the longest are not.
+    rnd = random.Random(12)
+    texts = []
+    for _ in range(40):
+        w = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(rnd.randint(100, 300))]
+        texts += [" ".join(v) for v in (w, [*w, "x1 y"], [*w, "x2 y"], [*w, "x3 y"], w[: len(w) * 98 // 100], w[: -(-len(w) * 79 // 100)])]
+    sets = {i: {tuple(t.split()[j : j + 2]) for j in range(len(t.split()) - 1)} for i, t in enumerate(texts)}
+    edges = [(a, b) for a in sets for b in range(a // 6 * 6, a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(df, k=2).collect()} == least_reachable(sets, edges)
+
+
+def test_common_counts():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(30)]
+    got = dict(common_counts(np.concatenate(sets), np.array([len(x) for x in sets]), columns=7))
+    assert all(got[i].tolist() == [len(np.intersect1d(sets[i], y)) for y in sets] for i in range(30))
+
+
 def removed(texts, length):
     data = [(t or "").encode() for t in texts]
     count = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
@@ -159,23 +180,73 @@ def test_copied_bytes(spark, monkeypatch, part):
     assert suffix_dedup.remove_copied(df.limit(0)).count() == 0
 
 
-def test_paragraphs(spark):
-    from lexmill.llm import paragraph_dedup
+def test_bands_of_many_sets_agree():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, rng.integers(1, 60), dtype=np.uint64)) for _ in range(50)]
+    got = band_keys_of(np.concatenate(sets), np.array([len(x) for x in sets]), 9, 2)
+    assert all((got[i] == band_keys(x, 9, 2)).all() for i, x in enumerate(sets))
+
+
+def test_words_of_long_texts(monkeypatch):
+    rnd = random.Random(2)
+    text = "".join(rnd.choice(["Ab", "é", "x" * 30, " ", "\n", "\xa0"]) for _ in range(400)).encode()
+    whole = shingles.words_in(text)
+    assert [text[a:b] for a, b in zip(whole[1], whole[2], strict=True)] == re.findall(rb"[^\x20\x09-\x0D]+", text)
+    assert len(set(whole[0].tolist())) == len(set(re.findall(rb"[^\x20\x09-\x0D]+", text.lower())))
+    monkeypatch.setattr(shingles, "PART", 50)
+    assert all((x == y).all() for x, y in zip(whole, shingles.words_in(text), strict=True))
+    monkeypatch.setattr(shingles, "LONGEST", 20)
+    in_parts = shingles.words_in(text)
+    monkeypatch.setattr(shingles, "PART", 1 << 20)
+    assert all((x == y).all() for x, y in zip(in_parts, shingles.words_in(text), strict=True))
+
+
+def test_what_paragraphs_are():
+    line = np.array([0] * 25 + [1] * 12 + [2] * 12 + [4] * 12 + [5] * 7 + [6] * 30 + [7] * 5)
+    assert paragraph_dedup.paragraphs(line, 20) == [(0, 25), (25, 49), (68, 98)]
+    assert paragraph_dedup.paragraphs(line[:0], 20) == [] and paragraph_dedup.paragraphs(np.zeros(19, int), 20) == []
+
+
+def plain_paragraphs(texts, passage):
+    """Words that must go, by document: brute force over all pairs of paragraphs and all windows of ``passage`` words."""
+    docs = [[(w, n) for n, line in enumerate((t or "").split("\n")) for w in re.findall(r"[^\x20\x09-\x0D]+", line.translate(LOWER))] for t in texts]
+    gone = [set() for _ in docs]
+    units = [(i, a, b) for i, d in enumerate(docs) for a, b in paragraph_dedup.paragraphs(np.array([n for _, n in d]), 20)]
+    sets = [{tuple(w for w, _ in docs[i][j : j + 5]) for j in range(a, b - 4)} for i, a, b in units]
+    edges = [(x, y) for x in range(len(units)) for y in range(x) if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+    for x, top in least_reachable(range(len(units)), edges).items():
+        if x != top:
+            gone[units[x][0]] |= set(range(*units[x][1:]))
+    first = {}
+    for i, d in enumerate(docs):
+        for j in range(len(d) - passage + 1):
+            di, dj = first.setdefault(tuple(w for w, _ in d[j : j + passage]), (i, j))
+            if di != i or j >= dj + passage:
+                gone[i] |= set(range(j, j + passage))
+    return gone
 
+
+def test_paragraphs(spark):
     rnd = random.Random(9)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
     line = lambda n: " ".join(word() for _ in range(n))
-    passage, long = line(60), [word() for _ in range(90)]
+    passages = [line(n) for n in (51, 52, 60, 75, 120, 300)]
+    long = [word() for _ in range(90)]
     edited = [*long[:40], "changed", *long[41:]]
-    texts = [f"{line(30)}\n{passage}\n{line(25)}", f"{line(40)} {passage} {line(40)}", line(50), f"{' '.join(long)}", f"{line(30)}\n{' '.join(edited).upper()}", None, "", "short line\n" * 5]
+    wrapped = "\n".join(line(11) for _ in range(8))
+    texts = [f"{line(30)}\n{passages[2]}\n{line(25)}", f"{line(40)} {passages[2]} {line(40)}", line(50), " ".join(long), f"{line(30)}\n{' '.join(edited).upper()}", None, "", "short line\n" * 5, "é " * 400, wrapped, f"{line(3)}\n\n{wrapped.replace(wrapped.split()[50], 'other')}"]
     texts += ["a common line of some thirteen words that many pages of all have\n" + line(60) for _ in range(12)]
+    for _ in range(40):
+        parts = [rnd.choice(passages) if rnd.random() < 0.5 else line(rnd.randint(5, 60)) for _ in range(rnd.randint(1, 5))]
+        texts.append(rnd.choice([" ", "\n", "\n\n"]).join(parts))
+    texts += [" ".join(passages[4].split()[10:61]) + " " + line(9), line(30) + " " + " ".join(passages[4].split()[10:60]) + " " + line(30)]
     rows = [(i, t, "x") for i, t in enumerate(texts)]
     df = spark.createDataFrame([*rows, rows[1]], "doc_id long, text string, spans string").repartition(3)
     got = {r.doc_id: r for r in paragraph_dedup.dedup_paragraphs(df).collect()}
-    assert {i for i, r in got.items() if r.n_removed} == {1, 4}
+    want = plain_paragraphs(texts, 51)
+    assert sum(map(bool, want)) > 30 and want[4] and want[10] and want[8] and not want[-1]
+    for i, t in enumerate(texts):
+        places = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        assert {j for j, (a, b) in enumerate(places) if any(s.s <= a and b <= s.e for s in got[i].spans)} == want[i], i
     assert got[1].first_ids == [0] and got[4].first_ids == [3]
-    s = got[4].spans[0]
-    assert texts[4][s.s : s.e] == " ".join(edited).upper()
-    inside = " ".join(texts[1][s.s : s.e] for s in got[1].spans)
-    assert inside in passage and len(inside) > 0.3 * len(passage)
     assert paragraph_dedup.dedup_paragraphs(df.limit(0)).count() == 0
