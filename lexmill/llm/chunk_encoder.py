@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import chain
 
 _LATIN, _MARKS, _SPACE = "A-Za-zÀ-ÖØ-öø-įı-ɏ", r".,;:!?%&$#*|", r" \t\n\r"
 #: Latin words (without U+0130, whose lower case has a mark) and runs of common marks are chunks of their own where nothing that could join them follows; what else
@@ -25,6 +26,14 @@ _APART = re.compile(r"\x01|<\||^(?! ?\S)|\s$|\S\s")
 #: Distinct chunks kept in each Python worker, and the longest chunk kept; others are encoded each time they occur.
 CACHED, LONGEST = 700_000, 48
 
+#: Chunks that are one word of Latin letters to any byte-level tokenizer; its model takes them as they are, byte by byte in
+#: the letters that stand for bytes: printable ones for themselves, the others for those from 256 on, in order.
+_WORD = re.compile(rf" ?[{_LATIN}]+")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = dict(zip([b for b in range(256) if b not in _PRINTED], map(chr, range(256, 512)), strict=False))
+#: Words that tell whether a tokenizer file is of that kind.
+_PROBES = ("a", "Apple", "thonaning", "École", "straße", "ñandú", "Ɏx", "ŉ", "Ǆǆ", "Ʊpsilon")
+
 _encoders: dict[tuple[str, str], ChunkEncoder] = {}
 
 
@@ -37,6 +46,9 @@ class ChunkEncoder:
         self.between = BETWEEN[chunks]
         self.mark = self.tokenizer.encode(self.between, add_special_tokens=False).ids
         self.cut = self.tokenizer.encode("\x01", add_special_tokens=False).ids
+        self.lower = self.tokenizer.encode("APPLE", add_special_tokens=False).ids == self.tokenizer.encode("apple", add_special_tokens=False).ids
+        probes = [*_PROBES, *(f" {p}" for p in _PROBES if chunks == "spaced")]
+        self.direct = all(self._word(p) == self.tokenizer.encode(p, add_special_tokens=False).ids for p in probes)
 
     @classmethod
     def of(cls, path: str, chunks: str) -> ChunkEncoder:
@@ -45,10 +57,21 @@ class ChunkEncoder:
             _encoders[path, chunks] = cls(path, chunks)
         return _encoders[path, chunks]
 
+    def _word(self, word: str) -> list[int]:
+        """The ids of a word by the model alone."""
+        word = word.lower() if self.lower else word
+        letters = word.replace(" ", _LETTERS[32]) if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+        return [t.id for t in self.tokenizer.model.tokenize(letters)]
+
     def _new(self, chunks: set[str]):
         """Each chunk with its ids."""
         import numpy as np
 
+        if self.direct:
+            words = list(filter(_WORD.fullmatch, chunks))
+            for c in words:
+                yield c, array("I", self._word(c)).tobytes()
+            chunks = chunks.difference(words)
         apart = [c for c in chunks if _APART.search(c)] if len(self.cut) == 1 else list(chunks)
         joined = list(chunks.difference(apart))
         edge = self.mark.index(self.cut[0]) if joined else 0  # ids of the mark before and after its own
@@ -69,7 +92,7 @@ class ChunkEncoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cache, parts = self.cache, [self.find(t) for t in texts]
         extra = {}
-        for c, ids in self._new({c for p in parts for c in p if c not in cache}):
+        for c, ids in self._new(set(chain.from_iterable(parts)) - cache.keys()):
             (cache if len(cache) < CACHED and len(c) <= LONGEST else extra)[c] = ids
         if not extra:
             return [b"".join(map(cache.__getitem__, p)) for p in parts]

@@ -1,7 +1,8 @@
 """Token ids in files of fixed-width bit packing.
 
 A row of a token table is a block of whole documents: each id takes ``width`` bits (the fewest that hold the vocabulary),
-lowest bit first, one after another; ``offsets`` has where each document's ids begin and, last, the block's id count.
+lowest bit first, one after another; ``offsets`` has where each document's ids begin and, last, the block's id count;
+``low`` and ``high`` are its least and greatest document id, by which readers of one document skip other blocks.
 Rows are in Parquet, as only Spark's writers reach every store; shards and blocks ascend with the document id.
 """
 
@@ -49,11 +50,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, chunks: str, end
     """Encodes every whole text, appends ``end_id`` to each document and writes the token table to ``path``.
 
     Documents are in ascending id order (null first), ties by text. A null or empty text has the end id alone. Repeated
-    rows are written each. An empty table writes no block. Extra columns are ignored.
+    rows are written each. An empty table writes no block. Extra columns are ignored. A text is encoded whole, to at most
+    2^31 - 1 ids, as the offsets within a block have 32 bits.
     """
     ship(docs.sparkSession)
     width, id_type = width_of(vocabulary), docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("first", T.LongType()), T.StructField("n_ids", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("doc_ids", T.ArrayType(id_type)), T.StructField("offsets", T.ArrayType(T.IntegerType())), T.StructField("payload", T.BinaryType())])
+    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("first", T.LongType()), T.StructField("n_ids", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("low", id_type), T.StructField("high", id_type), T.StructField("doc_ids", T.ArrayType(id_type)), T.StructField("offsets", T.ArrayType(T.IntegerType())), T.StructField("payload", T.BinaryType())])
 
     def encode(batches):
         import pyarrow as pa
@@ -68,7 +70,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, chunks: str, end
         def close():
             nonlocal first, block, waiting
             flat = np.frombuffer(b"".join(held), "<u4")
-            row = [shard, block, first, len(flat), width, list(ids), [0, *np.cumsum(sizes).tolist()], pack(flat, width)]
+            known = [i for i in ids if i is not None]
+            row = [shard, block, first, len(flat), width, known[0] if known else None, known[-1] if known else None, list(ids), [0, *np.cumsum(sizes).tolist()], pack(flat, width)]
             first, block, waiting = first + len(flat), block + 1, 0
             ids.clear(), held.clear(), sizes.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, out, strict=True)], schema=out)
@@ -121,8 +124,12 @@ def read_tokens(spark: SparkSession, path: str, *, emit_ids: bool = True) -> Dat
 
 
 def read_document(spark: SparkSession, path: str, doc_id) -> np.ndarray | None:
-    """The ids of one document, from its block alone; None if there is none."""
-    row = spark.read.parquet(path).where(F.array_contains("doc_ids", F.lit(doc_id))).first()
+    """The ids of one document, from its block alone; None if there is none. Of repeated ids one row's are given.
+
+    The blocks' bounds are pushed down to the files' statistics, so of other blocks neither ids nor payload are read.
+    """
+    near = (F.col("low") <= F.lit(doc_id)) & (F.col("high") >= F.lit(doc_id))
+    row = spark.read.parquet(path).where(near & F.array_contains("doc_ids", F.lit(doc_id))).first()
     if row is None:
         return None
     i = row["doc_ids"].index(doc_id)

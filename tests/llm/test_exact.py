@@ -170,6 +170,17 @@ def test_chunks_encode_as_whole(kind, parts):
     assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_latin_words_encode_as_whole():
+    rnd = random.Random(6)
+    letters = [chr(i) for i in [*range(65, 91), *range(97, 123), *range(0xC0, 0x250)] if i not in (0xD7, 0xF7, 0x130)]
+    for kind, mode in (("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaced")):
+        encoder = ChunkEncoder.of(public_tokenizers.path(kind), mode)
+        assert encoder.direct
+        for _ in range(40):
+            text = " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(1, 12))) for _ in range(60)) + " ".join(letters)
+            assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(1, 32), st.lists(st.integers(0, 2**32 - 1), min_size=1, max_size=40), st.data())
 def test_bit_packing(width, ids, data):
@@ -200,6 +211,7 @@ def test_token_files(spark, docs, none, tmp_path):
         assert r.start == at and len(r.ids) == r.n_tokens and zlib.crc32(np.array(r.ids, "<u4")) == r.ids_crc32
         at += r.n_tokens
     assert token_files.read_document(spark, path, 7).tolist() == ids(TEXTS[7]).tolist()
+    assert token_files.read_document(spark, path, 10**6) is None
     token_files.write_tokens(none, path, public_tokenizers.path("word_bpe_49k.json"), **args)
     assert token_files.read_tokens(spark, path).count() == 0
 
@@ -219,7 +231,17 @@ def test_packing(docs, none):
             assert r.offset == at
             at += r.length
         assert at <= 1024
-    assert [x for r in sorted(by_doc[8, len(ids(TEXTS[8]))], key=lambda r: r.start) for x in r.ids] == ids(TEXTS[8]).tolist()
+    want = {}
+    for r in docs.collect():
+        want.setdefault((r.doc_id, len(ids(r.text))), []).append(ids(r.text).tolist())
+    assert set(want) == set(by_doc)
+    for key, texts in want.items():  # repeated rows are packed each: as many pieces begin at each place
+        held = {}
+        for r in by_doc[key]:
+            held.setdefault(r.start, []).append(list(r.ids))
+        if len(texts) == 1:
+            assert [x for a in sorted(held) for v in held[a] for x in v] == texts[0]
+        assert sum(len(v) for vs in held.values() for v in vs) == sum(map(len, texts))
     assert packing.pack_sequences(none, public_tokenizers.path("byte_bpe_50k.json"), chunks="spaced", end_id=0).count() == 0
 
 
