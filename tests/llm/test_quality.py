@@ -1,17 +1,51 @@
 """The weak-label classifier on held-out documents."""
 
+import math
 import random
 
+import pytest
 from lexmill.llm import weak_quality
 
 
 def test_em_finds_the_bad_ways():
-    patterns = [(0, 0, 0), (-1, 0, 0), (0, -1, 0), (0, -1, -1), (-1, 0, 1)]
+    # Labellers vote good where they see nothing bad; an abstention tells nothing.
+    patterns = [(1, 1, 1), (-1, 1, 1), (1, -1, 1), (1, -1, -1), (-1, 0, 1)]
     rates, good = weak_quality.expectation_maximisation(patterns, [900, 40, 40, 20, 1])
     assert good[0] > 0.9 and max(good[1:4]) < 0.2
     assert rates[0][-1][0] > 10 * rates[0][-1][1]
 
 
+def test_em_agrees_with_a_plain_version():
+    rnd = random.Random(3)
+    patterns = sorted({tuple(rnd.choice((-1, 0, 1, 1)) for _ in range(4)) for _ in range(40)})
+    counts = [rnd.randint(1, 500) for _ in patterns]
+    m, total = 4, sum(counts)
+    share = [[0.9 if -1 not in p else 0.1, *((0.9 / p.count(-1) if v == -1 else 0.0) if -1 in p else 0.1 / m for v in p)] for p in patterns]
+    for _ in range(20):
+        mass = [sum(c * r[k] for c, r in zip(counts, share)) for k in range(m + 1)]
+        n = lambda k, j, v: 0.01 + sum(c * r[k] for p, c, r in zip(patterns, counts, share) if p[j] == v)  # noqa: B023, E731
+        of = lambda k, j, v: n(k, j, v) / (n(k, j, -1) + n(k, j, 1)) if v else 1  # noqa: B023, E731
+        e = [[(mass[k] + 0.01) / (total + 0.01 * (m + 1)) * math.prod(of(k, j, v) for j, v in enumerate(p)) for k in range(m + 1)] for p in patterns]
+        share = [[x / sum(r) for x in r] for r in e]
+    assert weak_quality.expectation_maximisation(patterns, counts, rounds=20)[1] == pytest.approx([r[0] for r in share], abs=1e-9)
+
+
+def test_votes():
+    names = list(weak_quality.LABELLERS)
+    of = lambda text: dict(zip(names, weak_quality.votes(text), strict=True))
+    plain = " ".join(f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}word{'.' if i % 9 == 0 else ''}" for i in range(90))
+    assert set(of(plain).values()) == {1}
+    assert of(plain.upper())["capitals"] == -1 and of(plain.replace(" ", "% "))["symbols"] == -1 and of(plain.replace(" ", "! "))["marks"] == -1
+    assert of("same " * 5000)["repeats"] == -1 and of("same " * 50)["stutter"] == -1 and of(plain.replace(".", ""))["run_on"] == -1
+    assert set(of("").values()) == set(of(" \n").values()) == {0} and of("a | b | c")["pipes"] == -1
+
+
+def test_features_read_whole_tokens_and_texts():
+    long = "a" * 30 + "!"
+    assert weak_quality._token(long)[1] == "a!" and set(weak_quality.features(f"x {long}")) != set(weak_quality.features("x " + "a" * 30))
+    assert set(weak_quality.features("y " * 30_000 + "zebra")) >= {weak_quality._slot("w:zebra")}
+
+
 def test_classifier(spark):
     rnd = random.Random(2)
     common = ["".join(rnd.choice("abcdefghij") for _ in range(4)) for _ in range(300)]
