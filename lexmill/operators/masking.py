@@ -41,14 +41,14 @@ def tokens(accepted: DataFrame, texts: DataFrame, *, id_col: str = "doc_id", tex
     """(id, entity_type, surface, n, token) of the masked surfaces of each document.
 
     n counts the distinct surfaces of a type by first appearance. A token that the text holds, or that another has taken,
-    gets the least suffix from 2 on that is free; only documents with such a clash take the fold that finds it.
+    gets the least suffix from 2 on that is free, which one fold over each document's tokens finds.
     """
     masked = accepted.where(F.col("anonymize") & ~F.col("protect"))
     first = masked.groupBy(id_col, "entity_type", "surface").agg(F.min("start").alias("_first"))
     w = Window.partitionBy(id_col, "entity_type").orderBy("_first", "surface")
     numbered = first.withColumn("n", F.row_number().over(w)).withColumn("_base", F.concat(label_of(F.col("entity_type")), F.col("n").cast("string")))
     per = numbered.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_first", "entity_type", "surface", "n", "_base"))).alias("_t"))
-    per = per.join(texts.select(id_col, F.col(text_col).alias("_text")), id_col)
+    per = per.join(texts.select(id_col, F.col(text_col).alias("_text")), id_col).dropDuplicates([id_col])  # repeated rows have one mapping
     start = F.array().cast("array<struct<entity_type:string,surface:string,n:int,token:string>>")
 
     def step(acc, x):
@@ -80,22 +80,40 @@ def report(candidates: DataFrame, accepted: DataFrame, id_col: str = "doc_id") -
     return found.join(taken, [id_col, "entity_type"], "left").na.fill(0, ["accepted", "masked"])
 
 
+def row_of(id_col: str, text_col: str) -> Column:
+    """What names a row: its id, which may be null or repeated, and a hash of its text."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
+
+
 def mask(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> dict[str, DataFrame]:
-    """The whole of it: candidates, accepted, mapping and masked, as DataFrames keyed by the id (unique in ``docs``)."""
-    texts = docs.select(id_col, text_col)
-    candidates = exploded(recognize(texts, rules, text_col=text_col), id_col)
-    accepted = resolve(candidates, id_col)
-    mapping = tokens(accepted, texts, id_col=id_col, text_col=text_col)
-    return {"candidates": candidates, "accepted": accepted, "mapping": mapping, "masked": replace_spans(texts, accepted, mapping, id_col=id_col, text_col=text_col)}
-
-
-def restore(masked: DataFrame, mapping: DataFrame, *, id_col: str = "doc_id", masked_col: str = "masked") -> DataFrame:
-    """Adds ``restored``: known tokens replaced by their surfaces in one pass; unknown ones stay."""
-    per = mapping.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("token", "surface"))).alias("_map"))
-    joined = masked.join(per, id_col, "left")
+    """The whole of it: candidates, accepted, mapping and masked, as DataFrames with the id and ``_row``, which names the row.
+
+    Rows with a null id and rows that repeat an id under other texts each have spans and tokens of their own; rows that
+    repeat an id and its text share them. A null text has no spans and stays null. Other columns are dropped, so none clashes.
+    """
+    texts = docs.select(row_of(id_col, text_col).alias("_row"), F.col(id_col), F.col(text_col))
+    candidates = exploded(recognize(texts, rules, text_col=text_col), "_row")
+    accepted = resolve(candidates, "_row")
+    mapping = tokens(accepted, texts, id_col="_row", text_col=text_col)
+    masked = replace_spans(texts, accepted, mapping, id_col="_row", text_col=text_col)
+    named = lambda df: df.withColumn(id_col, F.col("_row.id"))
+    return {"candidates": named(candidates), "accepted": named(accepted), "mapping": named(mapping), "masked": masked}
+
+
+def restore(masked: DataFrame, mapping: DataFrame, *, id_col: str = "doc_id", masked_col: str = "masked", strict: bool = False) -> DataFrame:
+    """Adds ``restored``: known tokens replaced by their surfaces in one pass. Unknown ones stay; with ``strict`` they are an error.
+
+    Tables of ``mask`` are joined by ``_row``, others by the id, which then has to be unique.
+    """
+    by = "_row" if "_row" in masked.columns and "_row" in mapping.columns else id_col
+    per = mapping.groupBy(by).agg(F.map_from_entries(F.collect_set(F.struct("token", "surface"))).alias("_map"))
+    joined = masked.join(per, by, "left")
     pattern = "⟦[^\\n⟧]*⟧"
     found, gaps = F.regexp_extract_all(masked_col, F.lit(pattern), F.lit(0)), F.split(masked_col, pattern, -1)
-    parts = F.transform(F.arrays_zip(gaps.alias("g"), found.alias("t")), lambda x: F.concat(x["g"], F.coalesce(F.try_element_at("_map", x["t"]), x["t"], F.lit(""))))
+    unknown = (lambda t: F.raise_error(F.concat(F.lit("no mapping for "), t)).cast("string")) if strict else (lambda t: t)
+    parts = F.transform(F.arrays_zip(gaps.alias("g"), found.alias("t")), lambda x: F.concat(x["g"], F.when(x["t"].isNull(), "").otherwise(F.coalesce(F.try_element_at("_map", x["t"]), unknown(x["t"])))))
+    if strict:
+        return joined.withColumn("restored", F.array_join(parts, "")).drop("_map")
     return joined.withColumn("restored", F.when(F.col("_map").isNull(), F.col(masked_col)).otherwise(F.array_join(parts, ""))).drop("_map")
 
 

@@ -1,7 +1,7 @@
 """Rules that find sensitive spans: each is a row of data, from which one expression per rule is built.
 
-Priorities, scores and rule names are fixed values of the policy; the shapes are described beside them. Python's Unicode
-digit class becomes Java's with (?U).
+Priorities, scores and rule names are fixed values of the policy; the shapes are described beside them. Full-width letters,
+digits and their marks are read as the plain ones, place by place; surfaces are those of the text itself.
 """
 
 from __future__ import annotations
@@ -144,6 +144,11 @@ def regex_rule(name: str, pattern: str, entity_type: str = "CUSTOM", priority: i
     return Rule(name, entity_type, pattern, priority)
 
 
+#: Full-width letters, digits and marks of numbers and addresses, and the plain ones for them.
+WIDE = "".join(chr(0xFEE0 + ord(c)) for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz@.-_+%")
+PLAIN = "".join(chr(ord(c) - 0xFEE0) for c in WIDE)
+
+
 def _candidates(text: Column, rule: Rule, seq: int) -> Column:
     found = positions(text, rule.pattern, rule.group)
     if rule.valid is not None:
@@ -154,7 +159,7 @@ def _candidates(text: Column, rule: Rule, seq: int) -> Column:
             x["start"].alias("start"),
             (x["start"] + F.length(x["surface"])).alias("end"),
             F.lit(rule.entity_type).alias("entity_type"),
-            x["surface"].alias("surface"),
+            F.when(F.col("_wide"), F.substring(F.col("_given"), x["start"] + 1, F.length(x["surface"]))).otherwise(x["surface"]).alias("surface"),
             F.lit(float(rule.score)).alias("score"),
             F.lit(rule.priority).alias("priority"),
             F.lit(rule.rule_id).alias("rule_id"),
@@ -182,8 +187,9 @@ def recognize(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str
     families: dict[str, list[tuple[int, Rule]]] = {}
     for seq, rule in enumerate(rules):
         families.setdefault(rule.family or rule.rule_id, []).append((seq, rule))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn(into, F.concat(*(_family(f, text) for f in families.values())))
+    given = docs.withColumn("_given", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_wide", F.col("_given").rlike(f"[{WIDE}]"))
+    read = given.withColumn("_read", F.when(F.col("_wide"), F.translate("_given", WIDE, PLAIN)).otherwise(F.col("_given")))
+    return read.withColumn(into, F.concat(*(_family(f, F.col("_read")) for f in families.values()))).drop("_given", "_wide", "_read")
 
 
 def exploded(docs: DataFrame, id_col: str = "doc_id", column: str = "candidates") -> DataFrame:

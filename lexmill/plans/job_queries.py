@@ -22,7 +22,7 @@ def jobs(spark, d):
 
 
 JOBS = f"""jobs AS (SELECT o_orderkey AS job_id, {list(STATUS)}[CAST(floor(o_orderkey % 5000 / 5) AS BIGINT) % 5 + 1] AS status, o_orderdate AS created_at,
-  CASE WHEN o_orderkey % 35 = 0 THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS heartbeat FROM orders WHERE o_orderkey % 5 = 0)"""
+  CASE WHEN o_orderkey % 35 = 0 THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS heartbeat FROM orders)"""
 
 
 def stages(spark, d):

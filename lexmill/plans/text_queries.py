@@ -66,8 +66,8 @@ def q_masked(spark, d):
 
 def q_flagship(spark, d):
     m = masking.mask(docs(spark, d))  # the whole policy
-    counts = m["accepted"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_accepted"), F.count_if("anonymize").alias("n_masked"))
-    return m["masked"].join(counts, "doc_id", "left").select("doc_id", F.sha2("masked", 256).alias("masked_sha256"), F.coalesce("n_accepted", F.lit(0)).alias("n_accepted"), F.coalesce("n_masked", F.lit(0)).alias("n_masked"))
+    counts = m["accepted"].groupBy("_row").agg(F.count(F.lit(1)).alias("n_accepted"), F.count_if("anonymize").alias("n_masked"))
+    return m["masked"].join(counts, "_row", "left").select("doc_id", F.sha2("masked", 256).alias("masked_sha256"), F.coalesce("n_accepted", F.lit(0)).alias("n_accepted"), F.coalesce("n_masked", F.lit(0)).alias("n_masked"))
 
 
 def q_restored(spark, d):
@@ -151,11 +151,13 @@ SELECT doc_id, keyword, count(*) AS n, CAST(sum(s) AS BIGINT) AS sum_start, max(
 
 
 def q_custom(spark, d):
-    rules = (recognize.regex_rule("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])"), recognize.field_rule("gpl", ["under the GNU General Public License, version 3.\nx", "licensed under CC"]))
-    return recognize.exploded(recognize.recognize(docs(spark, d), rules[:1])).select("doc_id", "start", "end", "surface")
+    rules = (recognize.regex_rule("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])"), recognize.field_rule("key", ["token", "secret"]))
+    return recognize.exploded(recognize.recognize(docs(spark, d), rules)).select("doc_id", "start", "end", "surface", "rule_id")
 
 
-CUSTOM_SQL = f"SELECT doc_id, pos AS start, pos + length(m) AS \"end\", m AS surface FROM ({at_sql('[0-9][0-9.]+')}) WHERE regexp_full_match(m, '[0-9]{{1,3}}(?:\\.[0-9]{{1,3}}){{3}}')"
+_FIELD = r'(token|secret)\s*[:：]\s*[^\n|；;]*[^\n|；;\s]'
+CUSTOM_SQL = f"""SELECT doc_id, pos AS start, pos + length(m) AS "end", m AS surface, 'ip' AS rule_id FROM ({at_sql('[0-9][0-9.]+')}) WHERE regexp_full_match(m, '[0-9]{{1,3}}(?:\\.[0-9]{{1,3}}){{3}}')
+UNION ALL SELECT doc_id, pos + length(l) AS start, pos + length(m) AS "end", substr(m, length(l) + 1) AS surface, 'key' AS rule_id FROM (SELECT *, regexp_extract(m, '^(token|secret)\\s*[:：]\\s*', 0) AS l FROM ({at_sql(_FIELD)}))"""
 
 
 def q_dedup(keep):

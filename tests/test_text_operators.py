@@ -105,3 +105,17 @@ def test_labels(spark):
     p = spark.createDataFrame([(1, 0, 2, "A"), (1, 3, 5, "A"), (2, 0, 1, "B"), (9, 0, 1, "B")], "d long, start int, end int, label string")
     r = {x.label: x for x in labels.metrics_report(labels.exact_metrics(e, p, ["d", "start", "end", "label"], ["label"]), "label").collect()}["overall"]
     assert (r.tp, r.fp, r.fn, r.precision, r.recall) == (3, 1, 2, 0.75, 0.6)
+
+
+def test_mask_leaves_nothing_behind(spark):
+    phone, other = "call 13812345678 now", "id 12: write to a.b@mail.example.com or 13912345678"
+    rows = [(None, phone, 1), (None, other, 2), (1, phone, 3), (1, other, 4), (1, other, 4), (2, None, 5), (3, "", 6), (4, "电话：１３８１２３４５６７８，账号 6222021234567890123", 7)]
+    m = masking.mask(spark.createDataFrame(rows, "doc_id long, text string, start int"))
+    got = sorted(((r.doc_id, r.text, r.masked) for r in m["masked"].collect()), key=repr)
+    want = {phone: "call ⟦电话1⟧ now", other: "id 12: write to ⟦邮箱1⟧ or ⟦电话1⟧", None: None, "": "", rows[-1][1]: "电话：⟦电话1⟧，账号 ⟦账号1⟧"}
+    assert got == sorted(((i, t, want[t]) for i, t, _ in rows), key=repr)
+    back = masking.restore(m["masked"], m["mapping"], strict=True)
+    assert all(r.restored == r.text for r in back.collect())
+    with pytest.raises(Exception, match="no mapping"):
+        masking.restore(m["masked"], m["mapping"].where("surface <> '13812345678'"), strict=True).collect()
+    assert masking.mask(spark.createDataFrame([], "doc_id long, text string"))["masked"].count() == 0
