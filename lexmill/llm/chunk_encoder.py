@@ -24,7 +24,7 @@ CHUNKS = {
 BETWEEN, TOGETHER = {"words": " \x01 ", "spaced": "\n\x01\n"}, 2048
 _APART = re.compile(r"\x01|<\||^(?! ?\S)|\s$|\S\s")
 #: Distinct chunks kept in each Python worker, and the longest chunk kept; others are encoded each time they occur.
-CACHED, LONGEST = 700_000, 48
+CACHED, LONGEST = {"words": 700_000, "spaced": 350_000}, 48
 
 #: Chunks that are one word of Latin letters to any byte-level tokenizer; its model takes them as they are, byte by byte in
 #: the letters that stand for bytes: printable ones for themselves, the others for those from 256 on, in order.
@@ -43,7 +43,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.find, self.cache = Tokenizer.from_file(path), CHUNKS[chunks].findall, {}
-        self.between = BETWEEN[chunks]
+        self.between, self.most = BETWEEN[chunks], CACHED[chunks]
         self.mark = self.tokenizer.encode(self.between, add_special_tokens=False).ids
         self.cut = self.tokenizer.encode("\x01", add_special_tokens=False).ids
         self.lower = self.tokenizer.encode("APPLE", add_special_tokens=False).ids == self.tokenizer.encode("apple", add_special_tokens=False).ids
@@ -91,12 +91,13 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cache, parts = self.cache, [self.find(t) for t in texts]
-        extra = {}
-        for c, ids in self._new(set(chain.from_iterable(parts)) - cache.keys()):
-            (cache if len(cache) < CACHED and len(c) <= LONGEST else extra)[c] = ids
-        if not extra:
-            return [b"".join(map(cache.__getitem__, p)) for p in parts]
-        return [b"".join([cache[c] if c in cache else extra[c] for c in p]) for p in parts]
+        wanted = set(chain.from_iterable(parts))
+        known = {c: cache[c] for c in wanted if c in cache}
+        for c, ids in self._new(wanted - known.keys()):
+            known[c] = ids
+            if len(cache) < self.most and len(c) <= LONGEST:
+                cache[c] = ids
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
 
 
 def slices(texts: list[str], chars: int = 4_000_000) -> list[tuple[int, int]]:

@@ -42,8 +42,7 @@ def without(docs: DataFrame, verdicts: DataFrame, *, id_col: str = "doc_id", tex
     """
     gone = stored(verdicts.select(verdicts[id_col].alias("_gone_id"), verdicts["_key"].alias("_gone_key")), "gone")
     key = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    few = F.broadcast(gone) if at_most(gone, FEW_ROWS) else gone
-    return docs.join(few, docs[id_col].eqNullSafe(gone["_gone_id"]) & (key == gone["_gone_key"]), "left_anti")
+    return docs.join(few(gone, FEW_ROWS), docs[id_col].eqNullSafe(gone["_gone_id"]) & (key == gone["_gone_key"]), "left_anti")
 
 
 def ascii_lower(c: Column | str) -> Column:
@@ -60,6 +59,11 @@ def at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
+def few(df: DataFrame, n: int) -> DataFrame:
+    """``df``, a stored table, marked to be sent to every executor if it has at most n rows; else as it is, to be dealt out."""
+    return F.broadcast(df) if at_most(df, n) else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir. Where the session names none, a local one is set, but on a local master alone."""
     sc = spark.sparkContext

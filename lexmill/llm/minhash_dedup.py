@@ -208,8 +208,8 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("least"), F.min(F.struct("_id", "_key")).alias("one"))
 
     def full_sets(wanted: DataFrame) -> DataFrame:
-        involved = wanted.join(nodes, "node").select("node", F.col("one._id").alias("_rid"), F.col("one._key").alias("_rkey"))
-        texts = t.join(involved, t["_id"].eqNullSafe(involved["_rid"]) & (t["_key"] == involved["_rkey"])).select("node", "_text")
+        involved = C.stored(wanted.join(nodes, "node").select("node", F.col("one._id").alias("_rid"), F.col("one._key").alias("_rkey")), "involved")
+        texts = t.join(C.few(involved, C.FEW_ROWS // 2), t["_id"].eqNullSafe(involved["_rid"]) & (t["_key"] == involved["_rkey"])).select("node", "_text")
         return _full_sets(texts, k).dropDuplicates(["node"])
 
     # Copies of a set fall together here, before anything is dealt out by bucket.
