@@ -138,12 +138,13 @@ def scanner_of(rules: tuple[Rule, ...]) -> Scanner:
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
-def scan_secrets(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), redacted: bool = False) -> DataFrame:
-    """One row per input row: the id, ``spans`` (structs kind, start, end in code points, by start then listed kind).
+def scan_secrets(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), redacted: bool = False, spans_col: str = "spans") -> DataFrame:
+    """One row per input row: the id, ``spans_col`` (structs kind, start, end in code points, by start then listed kind).
 
     ``keep`` names further columns to carry; with ``redacted`` the text follows too, each maximal run of spans replaced by
     its first kind in angle brackets. A null or empty text has no spans; a null one stays null. Repeated rows get a row
-    each; an empty table gives none.
+    each; an empty table gives none. Texts are read whole, however long. Spans that begin together come in the rules' order. Columns
+    that ``keep`` doesn't name are dropped; where it names one called ``spans_col``, give that another name.
     """
 
     def run(texts: list) -> list[list[tuple[str, int, int]]]:
@@ -153,7 +154,7 @@ def scan_secrets(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, id_col: st
     ship(docs.sparkSession)
     carried = [c for c in keep if c not in (id_col, text_col)]
     given = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"), *(docs[c].alias(f"_keep_{i}") for i, c in enumerate(carried)))
-    spans_field = T.StructField("spans", T._parse_datatype_string(SPANS))
+    spans_field = T.StructField("_spans", T._parse_datatype_string(SPANS))
     schema = T.StructType([*given.schema.fields, spans_field])
     schema = schema if redacted else T.StructType([f for f in schema.fields if f.name != "_text"])
 
@@ -168,11 +169,11 @@ def scan_secrets(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, id_col: st
             columns = [batch.column(i) for i in range(batch.num_columns) if redacted or i != 1]
             if redacted:
                 columns[1] = pa.array([redact(t, s) if s else t for t, s in zip(texts, found, strict=True)], pa.string())
-            columns.append(pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in found], out.field("spans").type))
+            columns.append(pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in found], out.field("_spans").type))
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
     done = given.mapInArrow(batches, schema)
-    return done.select(F.col("_id").alias(id_col), *([F.col("_text").alias(text_col)] if redacted else []), *(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(carried)), "spans")
+    return done.select(F.col("_id").alias(id_col), *([F.col("_text").alias(text_col)] if redacted else []), *(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(carried)), F.col("_spans").alias(spans_col))
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
