@@ -74,6 +74,12 @@ def rename_plan(files: DataFrame, original: str, order: str) -> DataFrame:
     return files.withColumn("target", F.when(nth == 1, F.col(original)).otherwise(F.concat(stem, F.lit("-"), nth.cast("string"), ext))).withColumn("clashes", F.count(F.lit(1)).over(w))
 
 
+def page_needs_ocr(text_chars: Column, bitmap_area: Column, page_area: Column, least_chars: int = 64, least_share: float = 0.05) -> Column:
+    """Whether a page goes to OCR: its text layer is too short and bitmaps cover more than the share of it. Unknown areas: no."""
+    share = F.greatest(bitmap_area, F.lit(0.0)) / F.greatest(page_area, F.lit(1.0))
+    return (F.coalesce(text_chars, F.lit(0)) < max(1, least_chars)) & F.coalesce(share > max(0.0, least_share), F.lit(False))
+
+
 def page_route(pages: DataFrame, least_chars: int = 64, least_area: float = 0.6) -> DataFrame:
     """Per document whether it is a scan: no page has enough text, and at least 80 % (and one) hold a large bitmap."""
     large = F.col("image_area_fraction") >= least_area

@@ -21,12 +21,33 @@ def spans_to_labels(length: Column, spans: str, scheme: str = "BIO") -> Column:
     return F.when(length > 0, F.transform(F.sequence(F.lit(0), F.greatest(length - 1, F.lit(0))), at)).otherwise(F.array().cast("array<string>"))
 
 
+#: The grammar of labels and the schemes by their names, letters in either case and without hyphens.
+LABEL = r"^(?:O|([BILUES])-([A-Za-z][A-Za-z0-9_.:\-]*))\z"
+SCHEMES = {"BIO": "BIO", "BIOES": "BIOES", "BILOU": "BILOU", "BIOUL": "BILOU"}
+
+
+def scheme_name(scheme: str) -> str:
+    """The scheme that a name means; an unknown one is an error."""
+    try:
+        return SCHEMES[scheme.upper().replace("-", "")]
+    except KeyError:
+        raise ValueError(f"no label scheme: {scheme}") from None
+
+
+def label_parts(label: Column, strict: bool = True) -> Column:
+    """(prefix, entity) of a label, O without an entity; of another string an error, or null unless ``strict``."""
+    entity = F.nullif(F.regexp_extract(label, LABEL, 2), F.lit(""))
+    parts = F.struct(F.left(label, F.lit(1)).alias("prefix"), entity.alias("entity"))
+    wrong = F.raise_error(F.concat(F.lit("invalid label: "), F.coalesce(label, F.lit("null")))) if strict else F.lit(None)
+    return F.when(label.rlike(LABEL), parts).otherwise(wrong.cast("struct<prefix:string,entity:string>"))
+
+
 def labels_to_spans(docs: DataFrame, labels: str = "labels", id_col: str = "doc_id") -> DataFrame:
     """(id, start, end, label) of label arrays of any scheme, by gaps and islands: B, S and U begin a span, O ends one."""
     each = docs.select(id_col, F.posexplode(labels).alias("at", "_l"))
     w = Window.partitionBy(id_col).orderBy("at")
     numbered = each.withColumn("_island", F.sum(F.when(F.left("_l", F.lit(1)).isin("B", "S", "U", "O"), 1).otherwise(0)).over(w)).where("_l <> 'O'")
-    return numbered.groupBy(id_col, "_island", F.substring("_l", 3, 1000).alias("label")).agg(F.min("at").alias("start"), (F.max("at") + 1).alias("end")).select(id_col, "start", "end", "label")
+    return numbered.groupBy(id_col, "_island", F.substring("_l", F.lit(3), F.length("_l")).alias("label")).agg(F.min("at").alias("start"), (F.max("at") + 1).alias("end")).select(id_col, "start", "end", "label")
 
 
 def parse_tags(text: Column) -> Column:

@@ -117,6 +117,17 @@ def restore(masked: DataFrame, mapping: DataFrame, *, id_col: str = "doc_id", ma
     return joined.withColumn("restored", F.when(F.col("_map").isNull(), F.col(masked_col)).otherwise(F.array_join(parts, ""))).drop("_map")
 
 
+def artifact_stem(job_id: Column, name: Column) -> Column:
+    """The stem of a document's artifacts: a hash of the job and the source's name, a NUL between."""
+    return F.concat(F.lit("document-"), safe_id(F.concat(job_id.cast("string"), F.lit("\0"), name.cast("string"))))
+
+
+def token_type_name(entity_type: Column) -> Column:
+    """A configured type's name as tokens may have it: capitals, digits and underscores, none at the ends, no digit first."""
+    name = F.regexp_replace(F.regexp_replace(F.upper(entity_type), "[^A-Z0-9_]", "_"), "^_+|_+$", "")
+    return F.when(name == "", "ENTITY").when(name.rlike("^[0-9]"), F.concat(F.lit("E_"), name)).otherwise(name)
+
+
 def safe_id(c: Column, n: int = 12) -> Column:
     """The first n hex digits of a value's SHA-256."""
     return F.left(F.sha2(c.cast("string"), 256), F.lit(n))

@@ -1,7 +1,8 @@
 """Text normalisation and line operators, as DataFrame expressions over lines kept in order."""
 
-from __future__ import annotations
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +18,17 @@ def newlines(c: Column) -> Column:
     return F.regexp_replace(c, "\\r\\n?", "\n")
 
 
+def nfkc(c: Column) -> Column:
+    """Compatibility composition of Unicode, which no built-in function has: an Arrow function that only texts beyond ASCII are sent to."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def composed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+
+    return F.coalesce(composed(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+
+
 def plain_spaces(c: Column) -> Column:
     return F.regexp_replace(c, f"[{SPACES}\\t]", " ")
 

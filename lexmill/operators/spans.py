@@ -30,6 +30,19 @@ def resolve(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return held.select(id_col, F.inline(F.when(F.size("_rows") == 1, spans_of).otherwise(accepted)))
 
 
+def longest_first(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Disjoint spans: in order of start, then the longest, then by type, each that begins where the one before has ended or later.
+
+    Spans have at least one character. One shuffle by document; each document's spans are folded once.
+    """
+    fields = [c for c in spans.columns if c != id_col]
+    row = F.struct(F.col("start").alias("_a"), (F.col("start") - F.col("end")).alias("_l"), F.col("entity_type").alias("_t"), F.struct(*fields).alias("span"))
+    held = spans.groupBy(id_col).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    begun = F.struct(F.slice(F.transform("_rows", lambda r: r["span"]), 1, 0).alias("kept"), F.lit(0).alias("end"))
+    kept = F.aggregate("_rows", begun, lambda a, r: F.when(r["_a"] >= a["end"], F.struct(F.array_append(a["kept"], r["span"]).alias("kept"), r["span"]["end"].alias("end"))).otherwise(a), lambda a: a["kept"])
+    return held.select(id_col, F.inline(kept))
+
+
 def dedup_positions(spans: DataFrame, keep: str = "first", id_col: str = "doc_id") -> DataFrame:
     """Of spans at one position the first, the last, or the best-scored stays."""
     order = {"first": [F.col("seq")], "last": [F.col("seq").desc()], "best": [F.col("score").desc(), F.col("seq")]}[keep]

@@ -125,6 +125,10 @@ def q_html(spark, d):
 
 
 QUERIES = {
+    "page_ocr": (
+        lambda s, d: read(s, d, "part").select("p_partkey", J.page_needs_ocr(F.col("p_size") * 2, F.when(F.col("p_partkey") % 5 > 0, F.col("p_retailprice") - 1000), F.col("p_retailprice") * F.col("p_size") / 10).alias("ocr")),
+        "SELECT p_partkey, p_size * 2 < 64 AND p_partkey % 5 > 0 AND greatest(p_retailprice - 1000, 0) / greatest(p_retailprice * p_size / 10, 1) > 0.05 AS ocr FROM part",
+    ),
     "event_seq": (
         q_sequence,
         "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence, round(CAST(epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id) AS DOUBLE) / 1000, 3) AS relative_ms FROM events",

@@ -91,7 +91,18 @@ def q_label_map(spark, d):
     return spans(spark, d).groupBy(F.element_at(known, F.col("label")).alias("entity_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_grammar(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    made = F.concat(F.substring(F.lit("BILOUESXO"), (F.col("o_orderkey") % 9 + 1).cast("int"), F.lit(1)), F.when(F.col("o_orderkey") % 4 > 0, F.concat(F.lit("-"), F.regexp_replace("o_orderpriority", "^[1-3]-", ""))).otherwise(""))
+    return o.select("o_orderkey", L.label_parts(made, strict=False).alias("_p")).select("o_orderkey", "_p.prefix", "_p.entity")
+
+
+GRAMMAR_SQL = """WITH m AS (SELECT o_orderkey, substr('BILOUESXO', o_orderkey % 9 + 1, 1) || CASE WHEN o_orderkey % 4 > 0 THEN '-' || regexp_replace(o_orderpriority, '^[1-3]-', '') ELSE '' END AS l FROM orders)
+SELECT o_orderkey, CASE WHEN ok THEN left(l, 1) END AS prefix, CASE WHEN ok AND l <> 'O' THEN substr(l, 3) END AS entity FROM (SELECT *, regexp_full_match(l, 'O|[BILUES]-[A-Za-z][A-Za-z0-9_.:-]*') AS ok FROM m)"""
+
+
 QUERIES = {
+    "label_grammar": (q_grammar, GRAMMAR_SQL),
     "spans_to_labels": (q_labels("BIO"), _labels_join_sql("B", "I")),
     "spans_to_labels_bioes": (q_labels("BIOES"), _labels_join_sql("S", "E")),
     "spans_to_labels_bilou": (q_labels("BILOU"), _labels_join_sql("U", "L")),

@@ -185,7 +185,25 @@ def q_windows(spark, d):
 WINDOWS_SQL = f"""WITH {CAND}, o AS (SELECT doc_id, start, "end", max(score) AS score FROM cand GROUP BY ALL) SELECT doc_id, start, "end", round(CAST(score AS DOUBLE), 6) AS score FROM o a
   WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.doc_id = a.doc_id AND b.start <= a.start AND a."end" <= b."end" AND b."end" - b.start > a."end" - a.start)"""
 
+LONGEST_SQL = f"""WITH {CAND}, l AS (SELECT doc_id, list([{{'start': start, 'end': "end", 'entity_type': entity_type}}] ORDER BY start, "end" - start DESC, entity_type) AS l FROM cand GROUP BY doc_id),
+k AS (SELECT doc_id, unnest(list_reduce(l, lambda a, x: CASE WHEN x[1]['start'] >= a[-1]['end'] THEN list_concat(a, x) ELSE a END)) AS s FROM l)
+SELECT doc_id, s['start'] AS start, s['end'] AS "end", s['entity_type'] AS entity_type FROM k"""
+
+
+def q_nfkc(spark, d):
+    wide = F.translate("text", "0123456789abcdefghijklmnopqrstuvwxyz!", "０１２３４５６７８９ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ！")
+    return docs(spark, d).select("doc_id", F.sha2(normalize.nfkc(wide), 256).alias("sha256"))
+
+
 QUERIES = {
+    "norm_nfkc": (q_nfkc, "SELECT doc_id, sha256(text) AS sha256 FROM documents"),
+    "longest_first": (lambda s, d: spans.longest_first(candidates(s, d)).select("doc_id", "start", "end", "entity_type"), LONGEST_SQL),
+    "artifact_stem": (lambda s, d: docs(s, d).select("doc_id", masking.artifact_stem(F.col("doc_id"), F.col("source")).alias("stem")), "SELECT doc_id, 'document-' || left(sha256(CAST(doc_id AS VARCHAR) || chr(0) || source), 12) AS stem FROM documents"),
+    "token_type_name": (
+        lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", masking.token_type_name(F.when(F.col("p_partkey") % 3 == 0, F.concat("p_size", F.lit(" "), "p_type")).when(F.col("p_partkey") % 7 == 0, " - ").otherwise(F.concat(F.lit("_"), "p_name", F.lit("#")))).alias("name")),
+        """WITH n AS (SELECT p_partkey, regexp_replace(regexp_replace(upper(CASE WHEN p_partkey % 3 = 0 THEN p_size || ' ' || p_type WHEN p_partkey % 7 = 0 THEN ' - ' ELSE '_' || p_name || '#' END), '[^A-Z0-9_]', '_', 'g'), '^_+|_+$', '', 'g') AS v FROM part)
+SELECT p_partkey, CASE WHEN v = '' THEN 'ENTITY' WHEN regexp_matches(v, '^[0-9]') THEN 'E_' || v ELSE v END AS name FROM n""",
+    ),
     "rec_email": (found("email"), EMAIL_SQL),
     "rec_account": (found("long_numeric_identifier"), ACCOUNT_SQL),
     "rec_number": (found("number"), NUMBER_SQL),

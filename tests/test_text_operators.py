@@ -119,3 +119,24 @@ def test_mask_leaves_nothing_behind(spark):
     with pytest.raises(Exception, match="no mapping"):
         masking.restore(m["masked"], m["mapping"].where("surface <> '13812345678'"), strict=True).collect()
     assert masking.mask(spark.createDataFrame([], "doc_id long, text string"))["masked"].count() == 0
+
+
+def test_small_predicates(spark):
+    import unicodedata
+
+    words = ["ﬁne １２", "Å", "plain", "", None, "㎏ ℡", "ｶﾞ"]
+    got = spark.createDataFrame([(w,) for w in words], "t string").select("t", normalize.nfkc(F.col("t")).alias("n")).collect()
+    assert all(r.n == (None if r.t is None else unicodedata.normalize("NFKC", r.t)) for r in got)
+    names = {"bank-account": "BANK_ACCOUNT", "__": "ENTITY", "": "ENTITY", "9 lives": "E_9_LIVES", "实体x": "X"}
+    df = spark.createDataFrame([(k,) for k in names], "t string")
+    assert {r.t: r.n for r in df.select("t", masking.token_type_name(F.col("t")).alias("n")).collect()} == names
+    assert labels.scheme_name("bio-ul") == "BILOU"
+    with pytest.raises(ValueError, match="scheme"):
+        labels.scheme_name("IOB2")
+    made = spark.createDataFrame([("B-" + "X" * 2000,), ("O",)], "t string").select(labels.label_parts(F.col("t")).alias("p")).collect()
+    assert made[0].p.entity == "X" * 2000 and made[1].p.entity is None
+    for wrong in ("O-X", "B", "B-1", "Q-X", None):
+        with pytest.raises(Exception, match="invalid label"):
+            spark.createDataFrame([(wrong,)], "t string").select(labels.label_parts(F.col("t"))).collect()
+    spanned = spark.createDataFrame([(1, 0, 3, "B"), (1, 0, 3, "A"), (1, 0, 2, "A"), (1, 2, 5, "A"), (1, 3, 4, "A"), (2, 1, 2, "A")], "doc_id long, start int, end int, entity_type string")
+    assert sorted(map(tuple, spans.longest_first(spanned).collect())) == [(1, 0, 3, "A"), (1, 3, 4, "A"), (2, 1, 2, "A")]
