@@ -1,45 +1,24 @@
-"""HTML pages to text: block tags end lines, scripts and styles are skipped, lines trimmed, blank ones dropped."""
+"""HTML pages to text: one substitution takes out comments, scripts, styles and tags, of which block tags end a line."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from html import unescape
 
 from pyspark.sql import DataFrame
 
 from lexmill.functions.ship import ship
 
-BLOCKS = frozenset("address article aside blockquote br dd div dl dt footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
-SKIPPED = frozenset(("script", "style"))
-
-
-class _Text(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.parts, self.depth = [], 0
-
-    def handle_starttag(self, tag, attrs):
-        self.depth += tag in SKIPPED
-        if tag in BLOCKS:
-            self.parts.append("\n")
-
-    def handle_endtag(self, tag):
-        self.depth = max(self.depth - (tag in SKIPPED), 0)
-        if tag in BLOCKS:
-            self.parts.append("\n")
-
-    def handle_data(self, data):
-        if not self.depth:
-            self.parts.append(data)
+#: The tags that end a line.
+BLOCKS = frozenset(("address", "article", "br", "div", "li", "p", "section", "tr"))
+_REST = r"""(?:"[^"]*"|'[^']*'|[^'">])*>"""
+_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)\b{_REST}.*?(?:</\1\s*>|\Z)|</?(?P<tag>[a-z][^\s/>]*){_REST}|<[!?][^>]*>", re.DOTALL | re.IGNORECASE)
 
 
 def text_of(html: str) -> str:
-    parser = _Text()
-    try:
-        parser.feed(html)
-        parser.close()
-    except (ValueError, AssertionError):
-        return html.strip()
-    return "\n".join(x for x in map(str.strip, "".join(parser.parts).split("\n")) if x)
+    """The text outside markup with its references resolved; lines are trimmed and blank ones dropped."""
+    bare = _MARKUP.sub(lambda m: "\n" if (m["tag"] or "").lower() in BLOCKS else "", html)
+    return "\n".join(line for line in map(str.strip, unescape(bare).splitlines()) if line)
 
 
 def html_text(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:

@@ -33,6 +33,8 @@ def test_vault(spark):
 
 def test_html():
     assert text_of("<p>a &amp; b<br>c</p><script>x</script> <div> d </div>") == "a & b\nc\nd"
+    assert text_of("a<!-- <p> --> b <i title='>'>c</i> 1 < 2 &lt;p&gt;<STYLE>p {}</STYLE><h1>d</h1>") == "a b c 1 < 2 <p>d"
+    assert text_of("") == text_of("<script>never closed <p>") == ""
 
 
 def test_stream(spark, tmp_path):
