@@ -33,8 +33,10 @@ def stale(jobs: DataFrame, cutoff: str) -> DataFrame:
     return jobs.where((F.col("status") == "running") & (beat.isNull() | (beat < F.lit(cutoff).cast("timestamp")))).withColumn("status", F.lit("interrupted"))
 
 
-def newest(jobs: DataFrame, limit: int, at: str = "created_at", job: str = "job_id") -> DataFrame:
-    """The newest jobs; the limit is held between 1 and 500."""
+def newest(jobs: DataFrame, limit: int, at: str = "created_at", job: str = "job_id", status: str | None = None) -> DataFrame:
+    """The newest jobs, of one status if it is given; the limit is held between 1 and 500."""
+    if status is not None:
+        jobs = jobs.where(F.col("status") == status)
     return jobs.orderBy(F.col(at).desc(), F.col(job).desc()).limit(min(max(limit, 1), 500))
 
 
