@@ -82,7 +82,7 @@ def q_report(spark, d):
 
 
 def q_audit(*kinds):
-    return lambda spark, d: audit.findings(docs(spark, d)).where(F.col("category").isin(*kinds))
+    return lambda spark, d: audit.findings(docs(spark, d), kinds)
 
 
 _LINES = r"SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS t FROM (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS l FROM documents WHERE text IS NOT NULL))"
@@ -229,9 +229,8 @@ SELECT p_partkey, CASE WHEN v = '' THEN 'ENTITY' WHEN regexp_matches(v, '^[0-9]'
     "safe_id": (lambda s, d: docs(s, d).select("doc_id", masking.safe_id(F.concat_ws("/", "source", "doc_id")).alias("safe_id")), "SELECT doc_id, left(sha256(source || '/' || doc_id), 12) AS safe_id FROM documents"),
     "audit_email": (q_audit("EMAIL"), AUDIT_EMAIL),
     "audit_account": (q_audit("BANK_ACCOUNT"), AUDIT_ACCOUNT),
-    "audit_table": (q_audit("TABLE_PIPE"), None),
     "audit_rollup": (
-        lambda s, d: audit.rollup(audit.findings(docs(s, d)).where(F.col("category").isin("EMAIL", "BANK_ACCOUNT"))),
+        lambda s, d: audit.rollup(audit.findings(docs(s, d), ("EMAIL", "BANK_ACCOUNT"))),
         f"WITH f AS ({AUDIT_EMAIL} UNION ALL {AUDIT_ACCOUNT}) SELECT coalesce(category, 'total') AS category, count(*) AS n FROM f GROUP BY ROLLUP (category)",
     ),
     "norm_spaces": (q_spaces, "SELECT doc_id, sha256(replace(text, 'e ', 'e   ')) AS sha256 FROM documents"),

@@ -54,6 +54,29 @@ def found(*names):
     return lambda spark, d: recognize.exploded(recognize.recognize(zh_docs(spark, d), rules)).select("doc_id", "start", "end", "surface")
 
 
+def leaky(spark, d):
+    """Masked texts, by the remainder of the key: three with faults of tables, addresses, tokens and separators, one without, and tables of uneven rows."""
+    k = F.col("c_custkey")
+    n = k.cast("string")
+    table = F.concat(F.lit("|"), F.repeat(F.lit(" h |"), (k % 2 + 1).cast("int")), F.lit("\n| --- | --- |\n|"), F.repeat(F.lit(" c |"), (k % 3 + 1).cast("int")), F.lit("\n\n| free | row | here |"))
+    kinds = [
+        F.concat(F.lit("| 注册地址 | 上海市"), n, F.lit("号 |\n通讯地址：\n\n广东"), n, F.lit("号")),
+        F.lit("| 地址 | ： | ⟦地址1⟧ |\n住址：⟦地址2⟧；地址：保密\n```\n| 地址 | x |\n```\n通讯地址：\n电话：已脱敏"),
+        F.concat(F.lit("住所地：北京"), n, F.lit("号 电话：⟦电话1⟧\n座机 010 - 8\n⟦PHONE:1⟧ 传真 010-8"), _lpad(k % 10000000, 7), F.lit("\n金额6222021234567890123元，电话138-0013-"), _lpad(k % 10000, 4), F.lit("\nID 110105 1949-12-31 002X")),
+    ]
+    text = F.when(k % 4 == 0, table)
+    for i, t in enumerate(kinds, 1):
+        text = text.when(k % 4 == i, t)
+    return spark.read.parquet(f"{d}/customer.parquet").select(k.alias("doc_id"), text.alias("text"))
+
+
+# An identity number whose second group begins like a mobile number is both.
+LEAKS = """SELECT c_custkey AS doc_id, CAST(1 AS INT) AS line, 'TABLE_PIPE' AS category FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 2 = 0
+UNION ALL SELECT c_custkey, 3, 'TABLE_PIPE' FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 3 <> 1
+UNION ALL SELECT c_custkey, unnest([1, 4]), 'ADDRESS' FROM customer WHERE c_custkey % 4 = 1
+UNION ALL SELECT c_custkey, unnest([1, 3, 3, 4, 5, 5]), unnest(['ADDRESS', 'TOKEN', 'LANDLINE', 'PHONE', 'ID_CARD', 'PHONE']) FROM customer WHERE c_custkey % 4 = 3"""
+
+
 #: Start of each field: what stands before it is of known length.
 _K = "length(CAST(c_custkey AS VARCHAR))"
 _P = f"2 + {_K} + 4"  # the phone
@@ -92,7 +115,14 @@ QUERIES = {
         " UNION ALL ".join(_sql(f"1 + {_K} + 5 + 2 + 6 + length(CAST(c_custkey % 90 AS VARCHAR)) + 3 + {off}", str(len(n)), f"'{n}'") for n, off in (("甲乙丙科技有限公司", 0), ("乙丙科技", 1), ("丁戊银行", 10))),
     ),
     "audit_shapes": (
-        lambda s, d: audit.findings(zh_docs(s, d)).where(F.col("category").isin("PHONE", "ID_CARD", "BANK_ACCOUNT")).select("doc_id", "line", "category"),
+        lambda s, d: audit.findings(zh_docs(s, d), ("PHONE", "ID_CARD", "BANK_ACCOUNT")).select("doc_id", "line", "category"),
         "SELECT c_custkey AS doc_id, CAST(unnest([1, 1, 2]) AS INT) AS line, unnest(['PHONE', 'ID_CARD', 'BANK_ACCOUNT']) AS category FROM customer",
     ),
+    "audit_blocks": (lambda s, d: audit.findings(leaky(s, d)), LEAKS),
+    "audit_reports": (
+        lambda s, d: audit.reports(audit.findings(leaky(s, d))),
+        f"""WITH f AS ({LEAKS}), c AS (SELECT doc_id, category, count(*) AS n FROM f GROUP BY ALL), g AS (SELECT doc_id, string_agg('"' || category || '":' || n, ',' ORDER BY category) AS counts, sum(n) AS total FROM c GROUP BY doc_id),
+l AS (SELECT doc_id, string_agg('{{"line":' || line || ',"category":"' || category || '"}}', ',' ORDER BY line, list_position({list(audit.CATEGORIES)}, category)) AS listed FROM f GROUP BY doc_id)
+SELECT doc_id, '{{"total":' || CAST(total AS BIGINT) || ',"counts":{{' || counts || '}},"findings":[' || listed || ']}}' AS report FROM g JOIN l USING (doc_id)""",
+    ),
 }

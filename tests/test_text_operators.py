@@ -140,3 +140,14 @@ def test_small_predicates(spark):
             spark.createDataFrame([(wrong,)], "t string").select(labels.label_parts(F.col("t"))).collect()
     spanned = spark.createDataFrame([(1, 0, 3, "B"), (1, 0, 3, "A"), (1, 0, 2, "A"), (1, 2, 5, "A"), (1, 3, 4, "A"), (2, 1, 2, "A")], "doc_id long, start int, end int, entity_type string")
     assert sorted(map(tuple, spans.longest_first(spanned).collect())) == [(1, 0, 3, "A"), (1, 3, 4, "A"), (2, 1, 2, "A")]
+
+
+def test_audit_of_blocks(spark):
+    clean = "| 字段 | 值 |\n| --- | --- |\n| 手机 | ⟦PHONE:000001:abcdef012345⟧ |\n| 地址 | ： | ⟦地址1⟧ |\n"
+    prose = "| 说明 | 甲 - 乙 |\n| 另一行 | 文本 |\n| 字段 | 值 |\n| --- | --- |\n| 手机 | 已脱敏 |"
+    open_ = "| 注册地址 | 上海市1号 |\n通讯地址：\n\n# 标题\n住址：\n广东1号\n账号：６２２２ ０２１２ ３４５６ ７８９０ １２３\n合计6222021234567890元"
+    rows = [(1, clean), (2, prose), (3, open_), (4, None), (5, ""), (3, open_)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.line, r.category) for r in audit.findings(df).collect()) == [(3, 1, "ADDRESS"), (3, 6, "ADDRESS"), (3, 7, "BANK_ACCOUNT")]
+    assert audit.findings(df, ("EMAIL",)).count() == 0
+    assert [r.report for r in audit.reports(audit.findings(df)).collect()] == ['{"total":3,"counts":{"ADDRESS":2,"BANK_ACCOUNT":1},"findings":[{"line":1,"category":"ADDRESS"},{"line":6,"category":"ADDRESS"},{"line":7,"category":"BANK_ACCOUNT"}]}']
