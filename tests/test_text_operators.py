@@ -143,7 +143,7 @@ def test_small_predicates(spark):
 
 
 def test_audit_of_blocks(spark):
-    clean = "| 字段 | 值 |\n| --- | --- |\n| 手机 | ⟦PHONE:000001:abcdef012345⟧ |\n| 地址 | ： | ⟦地址1⟧ |\n"
+    clean = "| 字段 | 值 |\n| --- | --- |\n| 手机 | ⟦PHONE:000001:abcdef012345⟧ |\n\n| 地址 | ： | ⟦地址1⟧ |\n"
     prose = "| 说明 | 甲 - 乙 |\n| 另一行 | 文本 |\n| 字段 | 值 |\n| --- | --- |\n| 手机 | 已脱敏 |"
     open_ = "| 注册地址 | 上海市1号 |\n通讯地址：\n\n# 标题\n住址：\n广东1号\n账号：６２２２ ０２１２ ３４５６ ７８９０ １２３\n合计6222021234567890元"
     rows = [(1, clean), (2, prose), (3, open_), (4, None), (5, ""), (3, open_)]
