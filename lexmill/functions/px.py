@@ -33,3 +33,15 @@ def positions(text: Column, pattern: str, group: int = 0) -> Column:
         return F.struct((at + F.coalesce(F.length(x["m"]), F.lit(0))).alias("o"), F.when(x["m"].isNull(), a["r"]).otherwise(F.array_append(a["r"], hit)).alias("r"))
 
     return F.when(text.rlike(pattern), F.aggregate(matches, start, step, lambda a: a["r"])).otherwise(F.array().cast(FOUND))
+
+
+def literal_positions(text: Column, word: Column) -> Column:
+    """The places of a word, which may differ by row, as (start, surface), from left to right and not overlapping."""
+    gaps = F.split(text, F.concat(F.lit("\\Q"), word, F.lit("\\E")), -1)
+    start = F.struct(F.lit(0).alias("o"), F.array().cast(FOUND).alias("r"))
+
+    def step(a, gap):
+        at = a["o"] + F.length(gap)
+        return F.struct((at + F.length(word)).alias("o"), F.array_append(a["r"], F.struct(at.alias("start"), word.alias("surface"))).alias("r"))
+
+    return F.when(text.contains(word) & (word != ""), F.aggregate(F.slice(gaps, 1, F.size(gaps) - 1), start, step, lambda a: a["r"])).otherwise(F.array().cast(FOUND))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .recognize import RULES, Rule, exploded, recognize
+from .parties import recognize_policy
+from .recognize import Rule, exploded, recognize
 from .spans import resolve
 
 #: The label of each entity type in its tokens; other types have the last.
@@ -85,14 +86,16 @@ def row_of(id_col: str, text_col: str) -> Column:
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
 
 
-def mask(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> dict[str, DataFrame]:
+def mask(docs: DataFrame, rules: tuple[Rule, ...] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> dict[str, DataFrame]:
     """The whole of it: candidates, accepted, mapping and masked, as DataFrames with the id and ``_row``, which names the row.
 
+    Without ``rules`` the whole default policy is taken, with persons, organisations and what texts declare of them.
     Rows with a null id and rows that repeat an id under other texts each have spans and tokens of their own; rows that
     repeat an id and its text share them. A null text has no spans and stays null. Other columns are dropped, so none clashes.
     """
     texts = docs.select(row_of(id_col, text_col).alias("_row"), F.col(id_col), F.col(text_col))
-    candidates = exploded(recognize(texts, rules, text_col=text_col), "_row")
+    found = recognize_policy(texts, text_col=text_col) if rules is None else recognize(texts, rules, text_col=text_col)
+    candidates = exploded(found, "_row")
     accepted = resolve(candidates, "_row")
     mapping = tokens(accepted, texts, id_col="_row", text_col=text_col)
     masked = replace_spans(texts, accepted, mapping, id_col="_row", text_col=text_col)

@@ -20,7 +20,8 @@ class Rule:
     """``pattern`` with the value in ``group`` (0: the whole match; else group - 1 is the text before it in the match).
 
     ``hint`` is a cheap test that a text with a match passes; ``valid`` a further test on the surface; ``dedup`` says which
-    rule of a family keeps a position: the ``first`` or the ``last``; ``family`` rules are deduplicated together.
+    rule of a family keeps a position: the ``first`` or the ``last``; ``family`` rules are deduplicated together. ``parts``
+    gives the entities within a value, as (start, surface), where the value is not one itself; ``valid`` then tests those.
     """
 
     rule_id: str
@@ -35,6 +36,7 @@ class Rule:
     dedup: str = "first"
     anonymize: bool = True
     protect: bool = False
+    parts: object = None
 
 
 def id18_valid(s: Column) -> Column:
@@ -79,36 +81,6 @@ ID15 = Rule("cn_id_15", "ID_CARD", r"(?<!\d)[1-9]\d{7}(?:0[1-9]|1[0-2])(?:0[1-9]
 
 
 HAN = r"[\u3400-\u9fff]"
-#: Labels before a person's name, roles before or after one, and labels of addresses.
-PERSON_LABELS = ("经办/代理人姓名", "法定代表人/负责人或授权代表", "法定代表人或授权代表", "法定代表人/负责人", "法定代表人", "姓名", "负责人", "联系人", "经办人", "代理人", "董事长", "总经理", "被保险人", "投保人", "受益人")
-PERSON_ROLES = ("财务负责人", "部门负责人", "法定代表人", "负责人", "董事长", "总经理", "投资总监", "经理", "监事", "合伙人")
-ADDRESS_LABELS = ("住所地/通信地址", "通讯地址", "联系地址", "注册地址", "办公地址", "通信地址", "送达地址", "收件地址", "住所地", "住址", "住所", "地址")
-
-
-def person_rules(surnames: str, priority: int = 70) -> tuple[Rule, ...]:
-    """Names after a label, in a table cell after a label or before a role, and after a role in prose.
-
-    ``surnames`` has the characters that a name may begin with. A label that another label and colon follow is no name's.
-    """
-    first = lambda s: F.lit(surnames).contains(F.substring(s, 1, 1))
-    either = lambda words: "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")"
-    labels, roles = either(PERSON_LABELS), either(PERSON_ROLES)
-    return (
-        Rule("person_context_label", "PERSON", rf"({labels}\s*[:：为]\s*(?!{HAN}{{2,8}}\s*[:：])[【\[]?)({HAN}{{2,4}})", priority, 0.96, group=2, hint="[:：为]", valid=first, family="person"),
-        Rule("person_table_label", "PERSON", rf"({labels}\s*(?:\|\s*){{1,2}})({HAN}{{2,6}})(?=\s*(?:\||$))", priority, 0.98, group=2, hint=r"\|", valid=first, family="person"),
-        Rule("person_role_value", "PERSON", rf"(\|\s*)({HAN}{{2,4}})(?=\s*\|\s*{roles}\s*(?:[|：:]|$))", priority, 0.97, group=2, hint=r"\|", valid=first, family="person"),
-        Rule("person_role_prose", "PERSON", rf"({roles})({HAN}{{2,4}}?)(?=\s*(?:的|、|，|,|担任|签字|签章|出席|参加|负责|汇报|列席|$))", priority, 0.95, group=2, valid=first, family="person"),
-    )
-
-
-def address_rules(priority: int = 100) -> tuple[Rule, ...]:
-    """The value of a labelled address up to the next field, cell or line, and of an address in a clause."""
-    labels = "(?:" + "|".join(ADDRESS_LABELS) + ")"
-    following = "(?:电话|联系电话|传真|手机|邮箱|电子邮箱|法定代表人|联系人)"
-    return (
-        Rule("address_label", "ADDRESS", rf"({labels}\s*[:：]\s*)([^\s\n|；;】\]][^\n|；;】\]]*?)(?=\s*{following}\s*[:：]|\s*[|\n；;]|\s*\z)", priority, 1.0, group=2, hint="地址|住", family="address"),
-        Rule("address_as_clause", "ADDRESS", rf"({labels}\s*为\s*)([^\n|；;，,。]+?)(?=\s*(?:已通过|{following})|[；;，,。\n|]|\z)", priority, 0.96, group=2, hint="为", family="address"),
-    )
 
 
 def dictionary_spans(docs: DataFrame, names: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: int = 2) -> DataFrame:
@@ -151,6 +123,9 @@ PLAIN = "".join(chr(ord(c) - 0xFEE0) for c in WIDE)
 
 def _candidates(text: Column, rule: Rule, seq: int) -> Column:
     found = positions(text, rule.pattern, rule.group)
+    if rule.parts is not None:
+        inner = lambda x: F.transform(rule.parts(x["surface"]), lambda y: F.struct((x["start"] + y["start"]).alias("start"), y["surface"].alias("surface")))
+        found = F.flatten(F.transform(found, inner))
     if rule.valid is not None:
         found = F.filter(found, lambda x: rule.valid(x["surface"]))
     spans = F.transform(
@@ -172,14 +147,17 @@ def _candidates(text: Column, rule: Rule, seq: int) -> Column:
     return spans if rule.hint is None else F.when(text.rlike(rule.hint), spans).otherwise(empty)
 
 
-def _family(rules: list[tuple[int, Rule]], text: Column) -> Column:
-    """The candidates of rules that share positions; of equal positions the first (or last) rule's stays."""
-    order = rules if rules[0][1].dedup == "first" else rules[::-1]
-    kept = _candidates(text, order[0][1], order[0][0])
-    for seq, rule in order[1:]:
-        held = kept
-        kept = F.concat(held, F.filter(_candidates(text, rule, seq), lambda s: ~F.exists(held, lambda h: (h["start"] == s["start"]) & (h["end"] == s["end"]))))
-    return kept
+def _by_place(spans: Column, last: bool) -> Column:
+    """The spans of a family by position, at equal positions the rule first that keeps it."""
+    nth = lambda s: -F.floor(s["seq"] / 1_000_000) if last else s["seq"]
+    return F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), nth(s).cast("long").alias("nth"), s.alias("span"))))
+
+
+def _one_each(name: str) -> Column:
+    """Of the spans of ``_by_place`` the first of each position."""
+    before = lambda i: F.get(name, i - 1)
+    new = lambda x, i: (i == 0) | (x["start"] != before(i)["start"]) | (x["end"] != before(i)["end"])
+    return F.transform(F.filter(name, new), lambda x: x["span"])
 
 
 def recognize(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", into: str = "candidates") -> DataFrame:
@@ -189,12 +167,24 @@ def recognize(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str
         families.setdefault(rule.family or rule.rule_id, []).append((seq, rule))
     given = docs.withColumn("_given", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_wide", F.col("_given").rlike(f"[{WIDE}]"))
     read = given.withColumn("_read", F.when(F.col("_wide"), F.translate("_given", WIDE, PLAIN)).otherwise(F.col("_given")))
-    return read.withColumn(into, F.concat(*(_family(f, F.col("_read")) for f in families.values()))).drop("_given", "_wide", "_read")
+    text, held, parts = F.col("_read"), {}, []
+    for n, family in enumerate(families.values()):
+        spans = [_candidates(text, rule, seq) for seq, rule in family]
+        if len(family) == 1:
+            parts.append(spans[0])
+        else:
+            held[f"_family{n}"] = _by_place(F.concat(*spans), family[0][1].dedup == "last")
+            parts.append(_one_each(f"_family{n}"))
+    return read.withColumns(held).withColumn(into, F.concat(*parts)).drop("_given", "_wide", "_read", *held) if held else read.withColumn(into, F.concat(*parts)).drop("_given", "_wide", "_read")
 
 
 def exploded(docs: DataFrame, id_col: str = "doc_id", column: str = "candidates") -> DataFrame:
-    """One row per span: the id and the span's fields."""
-    return docs.select(id_col, F.inline(column))
+    """One row per span: the id and the span's fields.
+
+    The outer form, with its empty rows left after it: a plain one lets the optimiser put a filter on the array below the
+    recognition, which would then run once more for each column that it reads.
+    """
+    return docs.select(id_col, F.inline_outer(column)).where(F.col("start").isNotNull())
 
 
 def keyword_spans(docs: DataFrame, keywords: list[str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

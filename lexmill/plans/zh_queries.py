@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.operators import audit, recognize
+from lexmill.operators import audit, masking, parties, recognize
 
 
 def _lpad(c, n):
@@ -101,6 +101,62 @@ ID_SQL = f'SELECT c_custkey AS doc_id, CAST({_I} AS INT) AS start, CAST({_I} + 1
 # The rule takes a day of one digit first and 日 if it follows: of the 27th it has the 2.
 _DATE = "('20' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '年' || (c_custkey % 12 + 1) || '月' || CASE WHEN c_custkey % 28 + 1 < 10 THEN (c_custkey % 28 + 1) || '日' ELSE left(CAST(c_custkey % 28 + 1 AS VARCHAR), 1) END)"
 
+#: Texts about persons, organisations and places, and what is to be found in each: (surface, which occurrence, rule).
+PARTIES = (
+    ("法定代表人：张伟，会务联系人：李娜、王芳。李娜与某人，联系人：电话：无", [("张伟", 1, "person_context_label"), ("李娜", 1, "person_context_label"), ("王芳", 1, "person_list_label")]),
+    ("| 经办人姓名 | 陈静 |\n| 赵强 | 财务负责人 |\n列席 陈静", [("陈静", 1, "person_table_label"), ("赵强", 1, "person_role_value"), ("陈静", 2, "person_repeated_surface")]),
+    ("签字人 王磊；投资总监李洋汇报；本集团张敏主任；某某主任", [("王磊", 1, "person_signature_label"), ("李洋", 1, "person_role_prose"), ("张敏", 1, "person_job_title")]),
+    ("共有3名参会董事：张伟、李娜（女），王芳参加会议", [("张伟", 1, "person_meeting_list"), ("李娜", 1, "person_meeting_list"), ("王芳", 1, "person_meeting_list")]),
+    ("由北京甲乙科技有限公司与丙丁集团签署。开户银行，审议丁有限公司，中国银行北京海淀支行", [("北京甲乙科技有限公司", 1, "org_suffix"), ("丙丁集团", 1, "org_suffix"), ("中国银行", 1, "org_suffix"), ("北京海淀支行", 1, "org_bank_branch")]),
+    ("上海戊己股份有限公司（以下简称“庚辛公司”）。庚辛的，庚辛公司", [("上海戊己股份有限公司", 1, "org_suffix"), ("上海戊己股份有限公司", 1, "org_registry_canonical"), ("庚辛公司", 1, "org_alias"), ("庚辛公司", 2, "org_alias"), ("庚辛", 1, "org_alias"), ("庚辛", 2, "org_alias"), ("庚辛", 3, "org_alias")]),
+    ("\n无\n| 地址 | 北京市海淀区中关村路1号 | 110105194912310021 上海路2号 |\n| 广东省深圳市福田区1号 | 注册地址 |\n住所为南京路3号，无", [("北京市海淀区中关村路1号", 1, "address_forward_table"), ("上海路2号", 1, "address_forward_table"), ("广东省深圳市福田区1号", 1, "address_reverse_table"), ("南京路3号", 1, "address_as_clause")]),
+)
+
+
+def zh_parties(spark, d):
+    k = F.col("c_custkey")
+    text = F.element_at(F.array(*(F.lit(t) for t, _ in PARTIES)), (k % len(PARTIES) + 1).cast("int"))
+    return spark.read.parquet(f"{d}/customer.parquet").select(k.alias("doc_id"), F.concat(F.lit("单"), k.cast("string"), F.lit(" "), text).alias("text"))
+
+
+def q_parties(spark, d):
+    found = recognize.exploded(parties.recognize_policy(zh_parties(spark, d)))
+    return found.where(F.col("entity_type").isin("PERSON", "ORG", "ORG_ALIAS", "ADDRESS")).select("doc_id", "start", "end", "surface", "rule_id")
+
+
+def _place(text, surface, nth):
+    at = -1
+    for _ in range(nth):
+        at = text.index(surface, at + 1)
+    return at
+
+
+def _quoted(t):
+    return "'" + t.replace("'", "''") + "'"
+
+
+_ROWS = ", ".join(f"({i}, {_place(t, s, n)}, {_quoted(s)}, {_quoted(r)})" for i, (t, found) in enumerate(PARTIES) for s, n, r in found)
+PARTIES_SQL = f"""SELECT c_custkey AS doc_id, CAST(2 + length(CAST(c_custkey AS VARCHAR)) + at_ AS INT) AS start, CAST(2 + length(CAST(c_custkey AS VARCHAR)) + at_ + length(surface) AS INT) AS "end", surface, rule_id
+FROM customer JOIN (VALUES {_ROWS}) v(i, at_, surface, rule_id) ON i = c_custkey % {len(PARTIES)}"""
+
+#: The same texts masked.
+MASKED = (
+    "法定代表人：⟦人员1⟧，会务联系人：⟦人员2⟧、⟦人员3⟧。李娜与某人，联系人：电话：无",
+    "| 经办人姓名 | ⟦人员1⟧ |\n| ⟦人员2⟧ | 财务负责人 |\n列席 ⟦人员1⟧",
+    "签字人 ⟦人员1⟧；投资总监⟦人员2⟧汇报；本集团⟦人员3⟧主任；某某主任",
+    "共有3名参会董事：⟦人员1⟧、⟦人员2⟧（女），⟦人员3⟧参加会议",
+    "由⟦机构1⟧与⟦机构2⟧签署。开户银行，审议丁有限公司，⟦机构3⟧⟦机构4⟧",
+    "⟦机构1⟧（以下简称“⟦机构1-2⟧”）。⟦机构2⟧的，⟦机构1-2⟧",
+    "\n无\n| 地址 | ⟦地址1⟧ | ⟦账号1⟧ ⟦地址2⟧ |\n| ⟦地址3⟧ | 注册地址 |\n住所为⟦地址4⟧，无",
+)
+
+
+def q_mask_parties(spark, d):
+    return masking.mask(zh_parties(spark, d))["masked"].select("doc_id", "masked")
+
+
+MASK_SQL = f"SELECT c_custkey AS doc_id, '单' || c_custkey || ' ' || masked AS masked FROM customer JOIN (VALUES {', '.join(f'({i}, {_quoted(t)})' for i, t in enumerate(MASKED))}) v(i, masked) ON i = c_custkey % {len(MASKED)}"
+
 QUERIES = {
     "rec_idcard18": (found("cn_id_18"), ID_SQL),
     "rec_phone": (found("mobile"), _sql(_P, "11", f"'138' || lpad({_KV}, 8, '0')")),
@@ -108,8 +164,8 @@ QUERIES = {
     "rec_amount": (found("amount_with_unit"), _sql(_M, _ML, "c_custkey * 7 || '万元'")),
     "rec_contract": (found("contract_id_label"), _sql(_C, "9", f"'HT-' || lpad({_KV}, 6, '0')")),
     "rec_account_label": (found("account_context"), _sql(_A, "16", f"'6222' || lpad({_KV}, 12, '0')")),
-    "rec_person_ctx": (found_in(recognize.person_rules(SURNAMES)), _sql(f"1 + {_K} + 5", "2", "('张王李赵陈')[c_custkey % 5 + 1] || ('伟芳娜敏静强磊洋')[c_custkey % 8 + 1]")),
-    "rec_address": (found_in(recognize.address_rules()), _sql(f"1 + {_K} + 5 + 2 + 6", "(length(CAST(c_custkey % 90 AS VARCHAR)) + 2)", "c_custkey % 90 || '号楼'")),
+    "rec_person_ctx": (found_in(parties.person_rules(SURNAMES)[:1]), _sql(f"1 + {_K} + 5", "2", "('张王李赵陈')[c_custkey % 5 + 1] || ('伟芳娜敏静强磊洋')[c_custkey % 8 + 1]")),
+    "rec_address": (found_in(parties.address_rules()[:2]), _sql(f"1 + {_K} + 5 + 2 + 6", "(length(CAST(c_custkey % 90 AS VARCHAR)) + 2)", "c_custkey % 90 || '号楼'")),
     "rec_org_dict": (
         q_dictionary,
         " UNION ALL ".join(_sql(f"1 + {_K} + 5 + 2 + 6 + length(CAST(c_custkey % 90 AS VARCHAR)) + 3 + {off}", str(len(n)), f"'{n}'") for n, off in (("甲乙丙科技有限公司", 0), ("乙丙科技", 1), ("丁戊银行", 10))),
@@ -125,4 +181,6 @@ QUERIES = {
 l AS (SELECT doc_id, string_agg('{{"line":' || line || ',"category":"' || category || '"}}', ',' ORDER BY line, list_position({list(audit.CATEGORIES)}, category)) AS listed FROM f GROUP BY doc_id)
 SELECT doc_id, '{{"total":' || CAST(total AS BIGINT) || ',"counts":{{' || counts || '}},"findings":[' || listed || ']}}' AS report FROM g JOIN l USING (doc_id)""",
     ),
+    "rec_parties": (q_parties, PARTIES_SQL),
+    "mask_parties": (q_mask_parties, MASK_SQL),
 }
