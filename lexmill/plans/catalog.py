@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexmill.plans import job_queries, label_queries, store_queries, text_queries, zh_queries
+from lexmill.plans import document_queries, job_queries, label_queries, store_queries, text_queries, zh_queries
 
-_ALL = {**text_queries.QUERIES, **zh_queries.QUERIES, **job_queries.QUERIES, **store_queries.QUERIES, **label_queries.QUERIES}
+_ALL = {**text_queries.QUERIES, **zh_queries.QUERIES, **job_queries.QUERIES, **store_queries.QUERIES, **document_queries.QUERIES, **label_queries.QUERIES}
 
 
 def flagship(spark, sf_dir):
