@@ -12,6 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lexmill.functions.ship import ship
 
@@ -81,7 +82,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (node, hub), stored, whose ``sets`` (node, set, n) are linked.
 
     Pairs are dealt to a square of cells by the hashes of both nodes, so that a set goes to a cell once for all its pairs
-    there and a hub's many pairs go to many cells. The square grows with the pairs and with the ids in their sets.
+    there and a hub's many pairs go to many cells. The square grows with the pairs and with the ids in their sets. The
+    sets wait where they are for the cells of up to FEW_ROWS // 2 names, and are dealt out by name for more.
     """
     sizes = sets.select("node", "n")
     count, held = pairs.join(sizes, "node").agg(F.count(F.lit(1)), F.sum("n")).first()
@@ -89,6 +91,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     row, column = (F.pmod(F.xxhash64(c), F.lit(side)) for c in ("node", "hub"))
     dealt = pairs.select((row * side + column).alias("cell"), "node", "hub")
     wanted = dealt.select(F.col("cell").alias("at"), F.col("node").alias("name")).unionByName(dealt.select(F.col("cell").alias("at"), F.col("hub").alias("name"))).distinct()
+    wanted = F.broadcast(wanted) if 2 * count <= C.FEW_ROWS // 2 else wanted
     held = wanted.join(sets.select(F.col("node").alias("name"), "set"), "name").select("at", "name", "set")
     schema = pairs.schema
 
@@ -171,8 +174,9 @@ def star_links(members: DataFrame, full_sets, percent: int) -> DataFrame:
     Buckets with members of more than one component are not done: in those of up to SMALL members the pairs that are in no common component are
     compared; the members of larger ones are gathered by hub, as all of a bucket have met its hub, and met in blocks.
     """
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    crowded = C.stored(members.join(shared, "bucket").select("bucket", "node", "_size"), "buckets")
+    # Counted where they are, so that the members go to their buckets once and no table of counts goes beside them.
+    size = F.count(F.lit(1)).over(Window.partitionBy("bucket"))
+    crowded = C.stored(members.select("bucket", "node", size.alias("_size")).where("_size > 1"), "buckets")
     score = C.stored(crowded.groupBy("node").agg(F.sum("_size").alias("score")), "scores")
     sets = C.stored(full_sets(score.select("node")).withColumn("n", F.size("set").cast("long")), "sets")
     top = crowded.join(score, "node").groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("_top"), F.max("_size").alias("_size"))
@@ -187,8 +191,12 @@ def star_links(members: DataFrame, full_sets, percent: int) -> DataFrame:
     apart = C.stored(held.join(mixed, "bucket"), "apart")
     few = C.stored(_small_pairs(apart.where(F.col("_size") <= SMALL).select("bucket", "node", "component", "n"), percent).join(pairs.select(F.least("node", "hub").alias("node"), F.greatest("node", "hub").alias("hub")), ["node", "hub"], "left_anti"), "few")
     groups = apart.where(F.col("_size") > SMALL).select(F.col("hub").alias("group"), "node", "component", "n").distinct()
-    more = C.stored(_linked(few, sets, percent).unionByName(_met_in_blocks(groups, sets, percent)), "links")
-    C.discard(crowded, score, sets, top, pairs, held, apart, few)
+    # The sets that these pairs and groups need, most often a small part, are set aside, so that the others are not dealt out again.
+    named = C.stored(few.select("node").unionByName(few.select(F.col("hub").alias("node"))).unionByName(groups.select("node")).distinct(), "needed")
+    needed = C.stored(sets.join(C.few(named, C.FEW_ROWS // 2), "node", "left_semi"), "needed-sets")
+    C.discard(crowded, score, sets, top, pairs, held, named)
+    more = C.stored(_linked(few, needed, percent).unionByName(_met_in_blocks(groups, needed, percent)), "links")
+    C.discard(apart, few, needed)
     return found.select("node", F.col("component").alias("hub")).unionByName(more)
 
 
@@ -205,12 +213,18 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
     ship(docs.sparkSession)
     t = C.rows(docs, id_col=id_col, text_col=text_col)
     signed = C.stored(signatures(t, k, bands, rows), "minhash")
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("least"), F.min(F.struct("_id", "_key")).alias("one"))
+    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("least"), F.min(F.struct("_id", "_key")).alias("one"), F.count(F.lit(1)).alias("_rows"))
 
     def full_sets(wanted: DataFrame) -> DataFrame:
-        involved = C.stored(wanted.join(nodes, "node").select("node", F.col("one._id").alias("_rid"), F.col("one._key").alias("_rkey")), "involved")
-        texts = t.join(C.few(involved, C.FEW_ROWS // 2), t["_id"].eqNullSafe(involved["_rid"]) & (t["_key"] == involved["_rkey"])).select("node", "_text")
-        return _full_sets(texts, k).dropDuplicates(["node"])
+        involved = C.stored(wanted.join(nodes, "node").select("node", F.col("one._id").alias("_rid"), F.col("one._key").alias("_rkey"), "_rows"), "involved")
+
+        def texts(which: DataFrame) -> DataFrame:
+            return t.join(C.few(which, C.FEW_ROWS // 2), t["_id"].eqNullSafe(which["_rid"]) & (t["_key"] == which["_rkey"])).select("node", "_text")
+
+        # Only a node of several rows can meet its id and key twice.
+        alone, copied = (involved.where(x) for x in ("_rows = 1", "_rows > 1"))
+        found = texts(alone)
+        return _full_sets(found if copied.isEmpty() else found.unionByName(texts(copied).dropDuplicates(["node"])), k)
 
     # Copies of a set fall together here, before anything is dealt out by bucket.
     once = signed.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"))

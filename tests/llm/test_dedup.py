@@ -106,6 +106,28 @@ def test_members_with_one_common_bucket_meet(spark):
     assert linked_groups(spark, buckets, sets) == {9: 9, 2: 2, 3: 2, 7: 2, 8: 2, **{i: i for i in range(20, 30)}}
 
 
+def test_members_and_sets_are_dealt_out_once(spark, monkeypatch):
+    plans, stored = {}, minhash_dedup.C.stored
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, label)
+
+    monkeypatch.setattr(minhash_dedup.C, "stored", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are too large for it
+    try:
+        texts = [" ".join(f"w{(i // 2) * 100 + j}" for j in range(60)) + f" end{i}" for i in range(20)]
+        rows = [*enumerate(texts), (0, texts[0]), (50, texts[4]), (51, "alone")]
+        got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted([*((i, i // 2 * 2) for i in range(20)), (0, 0), (50, 4), (51, 51)])
+    assert plans["buckets"].count("hashpartitioning(bucket#") == 1
+    assert "hashpartitioning(name#" not in plans["star-links"]
+    assert "hashpartitioning(node#" not in plans["sets"].split("MapInArrow")[0]
+
+
 def test_variants_of_one_text(spark):
     rnd = random.Random(300)
     words = [f"w{i}" for i in range(900)]
