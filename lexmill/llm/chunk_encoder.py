@@ -10,7 +10,6 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import chain
 
 _LATIN, _MARKS, _SPACE = "A-Za-zÀ-ÖØ-öø-įı-ɏ", r".,;:!?%&$#*|", r" \t\n\r"
 #: Latin words (without U+0130, whose lower case has a mark) and runs of common marks are chunks of their own where nothing that could join them follows; what else
@@ -19,10 +18,6 @@ CHUNKS = {
     "words": re.compile(rf"[{_LATIN}]++(?=[{_SPACE}\x0b\x0c{_MARKS}]|\Z)|[{_MARKS}]++(?=[{_SPACE}\x0b\x0c{_LATIN}0-9]|\Z)|[^{_SPACE}\x0b\x0c]+"),
     "spaced": re.compile(rf" ?[{_LATIN}]++(?=[{_SPACE}{_MARKS}]|\Z)| ?[{_MARKS}]++(?=[{_SPACE}{_LATIN}0-9]|\Z)|\s*\S+(?:[^\S{_SPACE}]\s*\S*)*|\s+"),
 }
-#: New chunks are encoded many at a time, between a mark of one id that none of them holds. In ``spaced`` mode chunks that
-#: begin with more than one space could join the mark's and go one by one.
-BETWEEN, TOGETHER = {"words": " \x01 ", "spaced": "\n\x01\n"}, 2048
-_APART = re.compile(r"\x01|<\||^(?! ?\S)|\s$|\S\s")
 #: Distinct chunks kept in each Python worker, and the longest chunk kept; others are encoded each time they occur.
 CACHED, LONGEST = {"words": 700_000, "spaced": 350_000}, 48
 
@@ -37,15 +32,28 @@ _PROBES = ("a", "Apple", "thonaning", "École", "straße", "ñandú", "Ɏx", "ŉ
 _encoders: dict[tuple[str, str], ChunkEncoder] = {}
 
 
+class _Cache(dict):
+    """The ids of chunks as bytes, found when a chunk is first asked for; ``passing`` has those that are not kept for other calls."""
+
+    def __init__(self, find, most: int):
+        self.find, self.most, self.passing = find, most, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.passing.get(chunk)
+        if ids is None:
+            ids = array("I", self.find(chunk)).tobytes()
+            kept = self if len(self) < self.most and len(chunk) <= LONGEST else self.passing
+            kept[chunk] = ids
+        return ids
+
+
 class ChunkEncoder:
     def __init__(self, path: str, chunks: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.find, self.cache = Tokenizer.from_file(path), CHUNKS[chunks].findall, {}
-        self.between, self.most = BETWEEN[chunks], CACHED[chunks]
-        self.mark = self.tokenizer.encode(self.between, add_special_tokens=False).ids
-        self.cut = self.tokenizer.encode("\x01", add_special_tokens=False).ids
+        self.tokenizer, self.find, self.cache = Tokenizer.from_file(path), CHUNKS[chunks].findall, _Cache(self._ids, CACHED[chunks])
+        self.tokenize = self.tokenizer.model.tokenize
         self.lower = self.tokenizer.encode("APPLE", add_special_tokens=False).ids == self.tokenizer.encode("apple", add_special_tokens=False).ids
         probes = [*_PROBES, *(f" {p}" for p in _PROBES if chunks == "spaced")]
         self.direct = all(self._word(p) == self.tokenizer.encode(p, add_special_tokens=False).ids for p in probes)
@@ -61,43 +69,17 @@ class ChunkEncoder:
         """The ids of a word by the model alone."""
         word = word.lower() if self.lower else word
         letters = word.replace(" ", _LETTERS[32]) if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
-        return [t.id for t in self.tokenizer.model.tokenize(letters)]
-
-    def _new(self, chunks: set[str]):
-        """Each chunk with its ids."""
-        import numpy as np
-
-        if self.direct:
-            words = list(filter(_WORD.fullmatch, chunks))
-            for c in words:
-                yield c, array("I", self._word(c)).tobytes()
-            chunks = chunks.difference(words)
-        apart = [c for c in chunks if _APART.search(c)] if len(self.cut) == 1 else list(chunks)
-        joined = list(chunks.difference(apart))
-        edge = self.mark.index(self.cut[0]) if joined else 0  # ids of the mark before and after its own
-        for i in range(0, len(joined), TOGETHER):
-            some = joined[i : i + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.between + self.between.join(some) + self.between], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(ids == self.cut[0])
-            if len(at) != len(some) + 1:
-                raise ValueError("a chunk holds the mark's id")
-            data = ids.tobytes()
-            for c, a, b in zip(some, (4 * (at[:-1] + 1 + edge)).tolist(), (4 * (at[1:] - edge)).tolist(), strict=True):
-                yield c, data[a:b]
-        for i in range(0, len(apart), TOGETHER):
-            for c, e in zip(apart[i : i + TOGETHER], self.tokenizer.encode_batch_fast(apart[i : i + TOGETHER], add_special_tokens=False), strict=True):
-                yield c, array("I", e.ids).tobytes()
+        return [t.id for t in self.tokenize(letters)]
+
+    def _ids(self, chunk: str) -> list[int]:
+        return self._word(chunk) if self.direct and _WORD.fullmatch(chunk) else self.tokenizer.encode(chunk, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cache, parts = self.cache, [self.find(t) for t in texts]
-        wanted = set(chain.from_iterable(parts))
-        known = {c: cache[c] for c in wanted if c in cache}
-        for c, ids in self._new(wanted - known.keys()):
-            known[c] = ids
-            if len(cache) < self.most and len(c) <= LONGEST:
-                cache[c] = ids
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        find, ids = self.find, self.cache.__getitem__
+        out = [b"".join(map(ids, find(t))) for t in texts]
+        self.cache.passing.clear()
+        return out
 
 
 def slices(texts: list[str], chars: int = 4_000_000) -> list[tuple[int, int]]:

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from lexmill.llm import decontaminate, packing, quality_rules, secret_scan, token_files
+from lexmill.llm import chunk_encoder, decontaminate, packing, quality_rules, secret_scan, token_files
 from lexmill.llm.automaton import Automaton, parse
 from lexmill.llm.chunk_encoder import ChunkEncoder
 from pyspark.sql import functions as F
@@ -181,6 +181,19 @@ def test_latin_words_encode_as_whole():
             assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("kind", "mode"), [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaced")])
+def test_chunks_are_found_once_and_few_are_kept(monkeypatch, kind, mode):
+    monkeypatch.setitem(chunk_encoder.CACHED, mode, 3)
+    encoder, asked = ChunkEncoder(public_tokenizers.path(kind), mode), []
+    monkeypatch.setattr(encoder.cache, "find", lambda c: asked.append(c) or encoder._ids(c))
+    texts = ["one two 33 one two " + "x" * 60, "four, two \x01 five " + "x" * 60, "", "one 33 five<|endoftext|>"]
+    for _ in range(2):
+        got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)]
+        assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(asked) == len(set(asked)) and len(encoder.cache) == 3 and not encoder.cache.passing
+        asked.clear()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(1, 32), st.lists(st.integers(0, 2**32 - 1), min_size=1, max_size=40), st.data())
 def test_bit_packing(width, ids, data):
