@@ -40,10 +40,10 @@ def _suffixes(t: DataFrame, length: int) -> DataFrame:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        from .suffixes import suffix_rows
+        from .suffixes import pieces, suffix_rows
 
         out = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(2).to_pylist()
             held, counts = [], np.zeros(len(texts), np.int64)
             for i, text in enumerate(texts):
@@ -146,17 +146,19 @@ def _records(t: DataFrame, rows: DataFrame, length: int) -> DataFrame:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        from .suffixes import pieces
+
         out = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for key, kind, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
                 for s in at:
                     p, lo, hi = s["p"], s["lo"], s["hi"]
                     rows.append((key, kind, s["lead"], s["h"], p, lo, hi, s["fine"], data[p : hi + length], data[lo:p][::-1]))
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
-                    rows = []
+                    if len(rows) == 5_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+                        rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
@@ -260,8 +262,10 @@ def _window_hashes(records: DataFrame, length: int) -> DataFrame:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        from .suffixes import pieces
+
         out = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for r in batch.to_pylist():
                 data, asked = r["back"][::-1] + r["fwd"], set(r["asked"] or ())
@@ -323,8 +327,10 @@ def remove_copied(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id",
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        from .suffixes import pieces
+
         out = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for key, text, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data, runs = text.encode(), []
@@ -339,7 +345,7 @@ def remove_copied(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id",
                     at = b
                 kept = b"".join([*parts, data[at:]])
                 rows.append((key, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), [{"s": a, "e": b} for a, b in runs], *([kept] if emit_text else [])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)] if rows else [pa.array([], f.type) for f in out], schema=out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
     return joined.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 

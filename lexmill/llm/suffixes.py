@@ -9,6 +9,15 @@ from .shingles import mix
 #: Bytes at an anchor that choose it.
 GRAM = 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Rows of a batch that are Python objects at once.
+PIECE = 64
+
+
+def pieces(batches):
+    """The Arrow batches in pieces of PIECE rows: a batch has thousands, and what is made of a row takes many times its bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE):
+            yield batch.slice(at, PIECE)
 
 
 def words8(data: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -202,6 +203,45 @@ def test_copied_bytes(spark, monkeypatch, part):
     assert suffix_dedup.remove_copied(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("step", ["suffixes", "records", "windows", "result"])
+def test_copied_bytes_holds_few_rows(spark, monkeypatch, step):
+    """What a worker makes of a batch at once doesn't grow with the batch."""
+    rnd, size = random.Random(3), 1500
+    texts = ["".join(rnd.choices("abcd ", k=2000)) for _ in range(size)]
+    t = spark.createDataFrame([(i, x, i) for i, x in enumerate(texts)], "_id long, _text string, _key long")
+    taken = []
+    with monkeypatch.context() as m:
+        m.setattr(type(t), "mapInArrow", lambda df, run, schema: taken.append((df, run)) or spark.createDataFrame([], schema))
+        if step == "suffixes":
+            suffix_dedup._suffixes(t, 200)
+        elif step == "records":
+            at = [(i, i, j, j, 20 * j, 20 * j, 20 * j + 50, True) for i in range(size) for j in range(60)]
+            suffix_dedup._records(t, spark.createDataFrame(at, "_id long, _key long, lead long, h long, p int, lo int, hi int, fine boolean"), 200)
+        elif step == "windows":
+            reach = [(i, i, 1, 100, 0, 168, x[100:368].encode(), x[:100][::-1].encode(), [0, 5]) for i, x in enumerate(texts)]
+            suffix_dedup._window_hashes(spark.createDataFrame(reach, "_id long, _key long, h long, p int, lo int, hi int, fwd binary, back binary, asked array<int>"), 200)
+        else:
+            ranges = spark.createDataFrame([(i, i, [(20 * j, 20 * j + 10) for j in range(100)]) for i in range(size)], "_id long, _key long, ranges array<struct<s:int,e:int>>")
+            m.setattr(suffix_dedup, "copied_ranges", lambda *_: ranges)
+            monkeypatch.setattr(suffix_dedup.C, "rows", lambda *_, **__: t)
+            suffix_dedup.remove_copied(t)
+    df, run = taken[0]
+    whole = df.toArrow().combine_chunks().to_batches()
+    assert [b.num_rows for b in whole] == [size]
+    list(run([whole[0].slice(0, 1)]))  # imports
+    few, peak = [], []
+    for n in (100, size):
+        tracemalloc.start()
+        made = 0
+        for out in run([whole[0].slice(0, n)]):
+            made += out.num_rows
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        few.append(made)
+    assert few[1] > 10 * few[0]
+    assert peak[1] < 2 * peak[0]
+
+
 def test_bands_of_many_sets_agree():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 2**63, rng.integers(1, 60), dtype=np.uint64)) for _ in range(50)]
