@@ -1,6 +1,7 @@
 """Text normalisation and line operators, as DataFrame expressions over lines kept in order."""
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -115,12 +116,57 @@ def assemble(numbered: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return numbered.groupBy(id_col).agg(joined.alias("_t")).select(id_col, F.when(F.col("_t") == "", "").otherwise(F.concat("_t", F.lit("\n"))).alias("text"))
 
 
+#: White space in the sense of ``stripped``, as characters.
+BLANKS = "\t\n\u000b\u000c\r \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def _ascii(c: Column) -> Column:
+    return F.length(c) == F.octet_length(c)
+
+
+def _held(text: Column) -> Column:
+    """(line, code) of the lines of a text with plain spaces and newlines: a line that begins with three backticks turns code on
+    and off, from itself on, so that the text is cut before each such line and every other piece is code."""
+    pieces = F.split(F.concat(F.lit("\n"), text), "\n(?=(?U:[\\s&&[^\n]]*)```)", -1)
+    own = lambda p, k: F.slice(F.split(p, "\n", -1), F.when(k == 0, 2).otherwise(1), F.length(p) + 1)
+    cut = F.flatten(F.transform(pieces, lambda p, k: F.transform(own(p, k), lambda l: F.struct(l.alias("line"), (k % 2 == 1).alias("code")))))
+    return F.when(text.contains("```"), cut).otherwise(F.transform(F.split(text, "\n", -1), lambda l: F.struct(l.alias("line"), F.lit(False).alias("code"))))
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _tidy(line: Column, bare: Column) -> Column:
+    """``plain_line`` of a line whose stripped form is at hand; each repair only where the line has what it looks for."""
+    body = F.when(bare.contains("  ") | bare.contains("\t"), F.regexp_replace(bare, "[ \\t]{2,}", " ")).otherwise(bare)
+    body = _let(body, lambda b: F.when(b.rlike("[0-9]"), _let(repair_id(b), lambda i: repair_phone(repair_amount(i)))).otherwise(b))
+    body = _let(body, lambda b: F.when(_ascii(b), b).otherwise(F.regexp_replace(b, f"(?<=[{HAN}]) +(?=[{HAN}])", "")))
+    body = F.regexp_replace(F.regexp_replace(body, f" +([{CLOSING}])", "$1"), f"([{OPENING}]) +", "$1")
+    indent = F.when(classify(bare).isin("LIST", "HEADING"), F.regexp_extract(line, "^\\s*", 0)).otherwise("")
+    return F.concat(indent, F.trim(body, F.lit(BLANKS)))
+
+
 def organize(docs: DataFrame, most_blank: int = 2, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Line-wise organisation; broken lines are not merged and compatibility forms not folded."""
-    numbered = fenced(lines(docs.select(id_col, plain_spaces(newlines(F.col(text_col))).alias(text_col)), id_col=id_col, text_col=text_col), id_col)
-    kind = classify(F.col("line"))
-    tidy = F.when(F.col("in_code"), F.regexp_replace("line", "[ \\t]+\\z", "")).when(kind == "TABLE", table_row(F.col("line"))).otherwise(plain_line(F.col("line"), kind.isin("LIST", "HEADING")))
-    tidied = numbered.withColumn("line", tidy)
-    image = ~F.col("in_code") & F.col("line").rlike("(?i)^\\s*<!--\\s*image\\s*-->\\s*$")
-    page = ~F.col("in_code") & F.col("line").rlike("^\\s*第\\s*[0-9]+\\s*页\\s*$")
-    return assemble(limit_blank_runs(tidied.where(~image).withColumn("line", F.when(page, "---").otherwise(F.col("line"))), most_blank, id_col), id_col)
+    """Line-wise organisation; broken lines are not merged and compatibility forms not folded. A null text has no row.
+
+    All of it is local to a row: lines are an array, of which runs of blanks are told by the lines before each.
+    """
+    given = F.when(F.col(text_col).contains("\r"), newlines(F.col(text_col))).otherwise(F.col(text_col))
+    texts = docs.where(F.col(text_col).isNotNull()).select(id_col, given.alias("_t")).select(id_col, F.when(_ascii(F.col("_t")), F.replace("_t", F.lit("\t"), F.lit(" "))).otherwise(plain_spaces(F.col("_t"))).alias("_t"))
+
+    def tidied(x: Column) -> Column:
+        table = F.startswith(x["bare"], F.lit("|"))
+        line = F.when(x["code"], F.regexp_replace(x["line"], "[ \\t]+\\z", "")).when(table, table_row(x["line"])).otherwise(_tidy(x["line"], x["bare"]))
+        return F.struct(line.alias("line"), x["code"].alias("code"))
+
+    image = lambda x: ~x["code"] & x["line"].contains("<!--") & x["line"].rlike("(?i)^\\s*<!--\\s*image\\s*-->\\s*$")
+    page = lambda x: ~x["code"] & x["line"].contains("第") & x["line"].rlike("^\\s*第\\s*[0-9]+\\s*页\\s*$")
+    lines_ = F.transform(F.transform(_held(F.col("_t")), lambda x: F.struct(x["line"].alias("line"), F.trim(x["line"], F.lit(BLANKS)).alias("bare"), x["code"].alias("code"))), tidied)
+    kept = F.transform(F.filter(lines_, lambda x: ~image(x)), lambda x: F.when(page(x), "---").otherwise(x["line"]))
+    held = texts.select(id_col, F.transform(kept, lambda l: F.struct(l.alias("line"), (F.trim(l, F.lit(BLANKS)) == "").alias("blank"))).alias("_lines"))
+    before = lambda i: [F.when(i >= k, F.get("_lines", i - k)["blank"]).otherwise(False) for k in range(1, most_blank + 1)]
+    run = lambda x, i: ~reduce(lambda a, b: a & b, before(i), x["blank"])
+    joined = F.trim(F.array_join(F.transform(F.filter("_lines", run), lambda x: x["line"]), "\n"), F.lit(BLANKS))
+    return held.select(id_col, joined.alias("_t")).select(id_col, F.when(F.col("_t") == "", "").otherwise(F.concat("_t", F.lit("\n"))).alias("text"))

@@ -2,9 +2,15 @@
 
 from datetime import datetime
 
-from lexmill.plans import store_queries
+from lexmill.functions import px
+from lexmill.operators import labels, normalize, recognize
+from lexmill.plans import job_queries, store_queries, zh_queries
+from pyspark.sql import functions as F
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
 
 def test_valid_stages_takes_an_artifact_shipped_twice_once(spark, tmp_path):
     day = datetime(1995, 1, 1)
@@ -12,3 +18,11 @@ def test_valid_stages_takes_an_artifact_shipped_twice_once(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(2, 7, 5002, day), (2, 7, 5002, day.replace(day=3))], "l_orderkey long, l_linenumber int, l_partkey long, l_shipdate timestamp").write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
     assert [tuple(r) for r in store_queries.q_valid(spark, str(tmp_path)).collect()] == [(2, "i1", "ocr", "2-7-5002")]
+
+
+def test_organize_is_local_to_a_row(spark):
+    rows = [(1, "```\n a \n```\n|  x |\n\n\n\n\nb  c\n"), (1, "中 文 ,"), (2, "<!-- image -->"), (3, "　第 2 页\x85\n\n\x0b\n\nz"), (4, None), (5, "\n```")]
+    made = normalize.organize(spark.createDataFrame(rows, "doc_id long, text string"), 1)
+    assert "Exchange" not in plan(made)
+    want = [(1, "```\n a\n```\n|x|\n\nb c\n"), (1, "中文,\n"), (2, ""), (3, "---\n\nz\n"), (5, "```\n")]
+    assert sorted(map(tuple, made.collect())) == sorted(want)
