@@ -43,11 +43,24 @@ def label_parts(label: Column, strict: bool = True) -> Column:
 
 
 def labels_to_spans(docs: DataFrame, labels: str = "labels", id_col: str = "doc_id") -> DataFrame:
-    """(id, start, end, label) of label arrays of any scheme, by gaps and islands: B, S and U begin a span, O ends one."""
-    each = docs.select(id_col, F.posexplode(labels).alias("at", "_l"))
-    w = Window.partitionBy(id_col).orderBy("at")
-    numbered = each.withColumn("_island", F.sum(F.when(F.left("_l", F.lit(1)).isin("B", "S", "U", "O"), 1).otherwise(0)).over(w)).where("_l <> 'O'")
-    return numbered.groupBy(id_col, "_island", F.substring("_l", F.lit(3), F.length("_l")).alias("label")).agg(F.min("at").alias("start"), (F.max("at") + 1).alias("end")).select(id_col, "start", "end", "label")
+    """(id, start, end, label) of label arrays of any scheme: B, S and U begin a span, O ends one.
+
+    One fold over each row's labels, which are neither exploded nor shuffled. Labels that go on under another name, which no
+    scheme has, are a span of that name from its first place to its last before the next beginning.
+    """
+    kind = "array<struct<label:string,start:int,end:int>>"
+    none = F.array().cast(kind)
+    each = F.filter(F.transform(labels, lambda l, i: F.struct(l.alias("l"), i.alias("at"))), lambda x: x["l"].isNotNull())
+
+    def step(a: Column, x: Column) -> Column:
+        begins, name = F.left(x["l"], F.lit(1)).isin("B", "S", "U", "O"), F.substring(x["l"], F.lit(3), F.length(x["l"]))
+        span = lambda start: F.struct(name.alias("label"), start.alias("start"), (x["at"] + 1).alias("end"))
+        longer = F.when(F.exists(a["open"], lambda s: s["label"] == name), F.transform(a["open"], lambda s: F.when(s["label"] == name, span(s["start"])).otherwise(s))).otherwise(F.array_append(a["open"], span(x["at"])))
+        closed = F.struct(F.concat(a["done"], a["open"]).alias("done"), F.when(x["l"] == "O", none).otherwise(F.array(span(x["at"]))).cast(kind).alias("open"))
+        return F.when((x["l"] == "O") & (F.size(a["open"]) == 0), a).when(begins, closed).otherwise(F.struct(a["done"].alias("done"), longer.cast(kind).alias("open")))
+
+    found = F.aggregate(each, F.struct(none.alias("done"), none.alias("open")), step, lambda a: F.concat(a["done"], a["open"]))
+    return docs.select(id_col, F.inline_outer(found)).where(F.col("start").isNotNull()).select(id_col, "start", "end", "label")
 
 
 def parse_tags(text: Column) -> Column:

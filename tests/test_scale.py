@@ -26,3 +26,11 @@ def test_organize_is_local_to_a_row(spark):
     assert "Exchange" not in plan(made)
     want = [(1, "```\n a\n```\n|x|\n\nb c\n"), (1, "中文,\n"), (2, ""), (3, "---\n\nz\n"), (5, "```\n")]
     assert sorted(map(tuple, made.collect())) == sorted(want)
+
+
+def test_labels_are_not_exploded(spark):
+    rows = [(1, ["I-A", "O", "B-A", "I-B", "I-A", None, "I-A", "U-C", "O", "L-C"]), (1, ["B-A", "B-A"]), (2, []), (3, None)]
+    made = labels.labels_to_spans(spark.createDataFrame(rows, "doc_id long, labels array<string>"))
+    assert "Exchange" not in plan(made) and "posexplode" not in plan(made)
+    want = [(1, 0, 1, "A"), (1, 2, 7, "A"), (1, 3, 4, "B"), (1, 7, 8, "C"), (1, 9, 10, "C"), (1, 0, 1, "A"), (1, 1, 2, "A")]
+    assert sorted((r.doc_id, r.start, r.end, r.label) for r in made.collect()) == sorted(want)
