@@ -83,18 +83,29 @@ ID15 = Rule("cn_id_15", "ID_CARD", r"(?<!\d)[1-9]\d{7}(?:0[1-9]|1[0-2])(?:0[1-9]
 HAN = r"[\u3400-\u9fff]"
 
 
+#: A dictionary up to this many names and code points is sent to every task; of a larger one each name goes to so many places.
+FEW_NAMES, FEW_POINTS, SALTS = 100_000, 2_000_000, 16
+
+
 def dictionary_spans(docs: DataFrame, names: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: int = 2) -> DataFrame:
     """(id, start, end, surface) of the rows of ``names`` (name) in the texts, for dictionaries of any size.
 
     Each text's distinct runs of ``key`` code points meet the names that begin so by a join; the name then has to stand
-    there whole. Names shorter than ``key`` are not found.
+    there whole. Names shorter than ``key`` are not found. Texts stay where they are beside a small dictionary; with a
+    large one runs are dealt out, those that stand in many texts over several tasks.
     """
     # Cut after every code point: the k-th pieces, joined, are the leads, without a substring from the start for each.
     points = F.split(F.col(text_col), "")
     leads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text_col) - key + 1, F.lit(1))), lambda i: F.array_join(F.slice("_points", i, key), "")))
     each = docs.where(F.length(text_col) >= key).select(id_col, text_col, points.alias("_points")).select(id_col, text_col, F.explode(leads).alias("lead"))
     wanted = names.where(F.length("name") >= key).select("name", F.left("name", F.lit(key)).alias("lead")).distinct()
-    hits = each.join(wanted, "lead").where(F.col(text_col).contains(F.col("name")))
+    n, size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("name")), F.lit(0))).first()
+    if n <= FEW_NAMES and size <= FEW_POINTS:
+        met = each.join(F.broadcast(wanted), "lead")
+    else:
+        salt = F.pmod(F.xxhash64(F.col(text_col)), F.lit(SALTS)).cast("int").alias("_salt")
+        met = each.select("*", salt).join(wanted.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")), ["lead", "_salt"])
+    hits = met.where(F.col(text_col).contains(F.col("name")))
     pieces = F.split(F.col(text_col), F.concat(F.lit("(?=\\Q"), F.col("name"), F.lit("\\E)")), -1)
     first = F.when(F.startswith(F.col(text_col), F.col("name")), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
     zero = F.struct(F.lit(0).alias("o"), first.alias("r"))

@@ -34,3 +34,13 @@ def test_labels_are_not_exploded(spark):
     assert "Exchange" not in plan(made) and "posexplode" not in plan(made)
     want = [(1, 0, 1, "A"), (1, 2, 7, "A"), (1, 3, 4, "B"), (1, 7, 8, "C"), (1, 9, 10, "C"), (1, 0, 1, "A"), (1, 1, 2, "A")]
     assert sorted((r.doc_id, r.start, r.end, r.label) for r in made.collect()) == sorted(want)
+
+
+def test_a_small_dictionary_leaves_texts_where_they_are(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "甲乙丙丁"), (2, "乙丙乙丙"), (None, "丙")], "doc_id long, text string")
+    names = spark.createDataFrame([(w,) for w in ("甲乙", "乙丙", "丙", "乙丙丁", "乙丙")], "name string")
+    want = [(1, 0, 2, "甲乙"), (1, 1, 3, "乙丙"), (1, 1, 4, "乙丙丁"), (2, 0, 2, "乙丙"), (2, 2, 4, "乙丙")]
+    small = recognize.dictionary_spans(docs, names)
+    assert sorted(map(tuple, small.collect())) == want and "BroadcastHashJoin" in plan(small) and "SortMergeJoin" not in plan(small)
+    monkeypatch.setattr(recognize, "FEW_NAMES", 2)
+    assert sorted(map(tuple, recognize.dictionary_spans(docs, names).collect())) == want
