@@ -10,6 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FOUND = "array<struct<start:int,surface:string>>"
+#: A character that texts hardly ever hold.
+MARK = "\u0001"
+
+
+def gaps_of(text: Column, pattern: str) -> Column:
+    """What ``split`` gives for a pattern without empty matches. ``split`` compiles its pattern for every row, unless it is one
+    plain character: so matches become that character first, in all texts that do not hold it themselves."""
+    return F.when(text.contains(MARK), F.split(text, pattern, -1)).otherwise(F.split(F.regexp_replace(text, F.lit(pattern), F.lit(MARK)), MARK, -1))
 
 
 def positions(text: Column, pattern: str, group: int = 0) -> Column:
@@ -18,7 +26,7 @@ def positions(text: Column, pattern: str, group: int = 0) -> Column:
     The sum is one fold over the matches. Each gap and match is read by its index, so the fold is linear but for the
     growth of its result, which stays short for the rules here; texts without a match leave at once.
     """
-    whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), gaps_of(text, pattern)
     start = F.struct(F.lit(0).alias("o"), F.array().cast(FOUND).alias("r"))
     if group:
         matches = F.arrays_zip(whole.alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group - 1)).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"), gaps.alias("gap"))
@@ -37,7 +45,7 @@ def positions(text: Column, pattern: str, group: int = 0) -> Column:
 
 def literal_positions(text: Column, word: Column) -> Column:
     """The places of a word, which may differ by row, as (start, surface), from left to right and not overlapping."""
-    gaps = F.split(text, F.concat(F.lit("\\Q"), word, F.lit("\\E")), -1)
+    gaps = F.when(text.contains(MARK), F.split(text, F.concat(F.lit("\\Q"), word, F.lit("\\E")), -1)).otherwise(F.split(F.replace(text, word, F.lit(MARK)), MARK, -1))
     start = F.struct(F.lit(0).alias("o"), F.array().cast(FOUND).alias("r"))
 
     def step(a, gap):

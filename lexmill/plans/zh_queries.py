@@ -10,13 +10,23 @@ from pyspark.sql import functions as F
 from lexmill.operators import audit, masking, parties, recognize
 
 
+#: Texts of a task.
+PER_TASK = 5000
+
+
 def _lpad(c, n):
     return F.lpad(c.cast("string"), n, "0")
 
 
+def customers(spark, d):
+    """(k): the keys of the customers, dealt out. Their file is small and would be one task or few, but rules run over a text of each."""
+    keys = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    return keys.repartition(max(1, -(-keys.count() // PER_TASK)), "k")
+
+
 def zh_docs(spark, d):
     """(doc_id, text): one record per customer, its label, name, phone, identity number, account, date, amount and contract."""
-    c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    c = customers(spark, d)
     body = F.concat(F.lit("11010119"), _lpad(F.col("k") % 30 + 60, 2), _lpad(F.col("k") % 12 + 1, 2), _lpad(F.col("k") % 28 + 1, 2), _lpad(F.col("k") % 1000, 3))
     weights = [7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2]
     total = sum((F.substring("body", i + 1, 1).cast("int") * w for i, w in enumerate(weights)), F.lit(0))
@@ -34,7 +44,7 @@ COMPANIES = ("甲乙丙科技有限公司", "丁戊银行", "乙丙科技")
 
 
 def zh_people(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    c = customers(spark, d)
     name = F.concat(F.substring(F.lit(SURNAMES), (F.col("k") % 5 + 1).cast("int"), F.lit(1)), F.substring(F.lit(GIVEN), (F.col("k") % 8 + 1).cast("int"), F.lit(1)))
     text = F.concat(F.lit("单"), F.col("k").cast("string"), F.lit(" 联系人："), name, F.lit("；注册地址："), (F.col("k") % 90).cast("string"), F.lit("号楼"), F.lit("；"), F.lit("甲乙丙科技有限公司与丁戊银行"))
     return c.select(F.col("k").alias("doc_id"), text.alias("text"))
@@ -56,7 +66,7 @@ def found(*names):
 
 def leaky(spark, d):
     """Masked texts, by the remainder of the key: three with faults of tables, addresses, tokens and separators, one without, and tables of uneven rows."""
-    k = F.col("c_custkey")
+    k = F.col("k")
     n = k.cast("string")
     table = F.concat(F.lit("|"), F.repeat(F.lit(" h |"), (k % 2 + 1).cast("int")), F.lit("\n| --- | --- |\n|"), F.repeat(F.lit(" c |"), (k % 3 + 1).cast("int")), F.lit("\n\n| free | row | here |"))
     kinds = [
@@ -67,7 +77,7 @@ def leaky(spark, d):
     text = F.when(k % 4 == 0, table)
     for i, t in enumerate(kinds, 1):
         text = text.when(k % 4 == i, t)
-    return spark.read.parquet(f"{d}/customer.parquet").select(k.alias("doc_id"), text.alias("text"))
+    return customers(spark, d).select(k.alias("doc_id"), text.alias("text"))
 
 
 # An identity number whose second group begins like a mobile number is both.
@@ -114,9 +124,9 @@ PARTIES = (
 
 
 def zh_parties(spark, d):
-    k = F.col("c_custkey")
+    k = F.col("k")
     text = F.element_at(F.array(*(F.lit(t) for t, _ in PARTIES)), (k % len(PARTIES) + 1).cast("int"))
-    return spark.read.parquet(f"{d}/customer.parquet").select(k.alias("doc_id"), F.concat(F.lit("单"), k.cast("string"), F.lit(" "), text).alias("text"))
+    return customers(spark, d).select(k.alias("doc_id"), F.concat(F.lit("单"), k.cast("string"), F.lit(" "), text).alias("text"))
 
 
 def q_parties(spark, d):

@@ -44,3 +44,18 @@ def test_a_small_dictionary_leaves_texts_where_they_are(spark, monkeypatch):
     assert sorted(map(tuple, small.collect())) == want and "BroadcastHashJoin" in plan(small) and "SortMergeJoin" not in plan(small)
     monkeypatch.setattr(recognize, "FEW_NAMES", 2)
     assert sorted(map(tuple, recognize.dictionary_spans(docs, names).collect())) == want
+
+
+def test_texts_of_customers_are_dealt_out(spark, tmp_path):
+    spark.range(12_000).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for made in (zh_queries.zh_docs, zh_queries.zh_people, zh_queries.zh_parties, zh_queries.leaky):
+        assert made(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+    assert zh_queries.customers(spark, str(tmp_path)).distinct().count() == 12_000
+
+
+def test_positions_compile_no_pattern_for_a_row(spark):
+    df = spark.createDataFrame([("a1b22\u0001c3",), ("x7",), ("",)], "t string")
+    got = df.select("t", px.positions(F.col("t"), "[0-9]+").alias("p"), px.literal_positions(F.col("t"), F.lit("b2")).alias("w")).collect()
+    assert {r.t: [(x.start, x.surface) for x in r.p] for r in got} == {"a1b22\u0001c3": [(1, "1"), (3, "22"), (7, "3")], "x7": [(1, "7")], "": []}
+    assert [[x.start for x in r.w] for r in got] == [[2], [], []]
+    assert "split(regexp_replace(" in plan(df.select(px.positions(F.col("t"), "[0-9]+")))
