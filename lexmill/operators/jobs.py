@@ -45,9 +45,18 @@ def final_status(items: DataFrame) -> DataFrame:
     return items.groupBy("job_id").agg(F.count_if(F.col("status") == "failed").alias("failed"), F.coalesce(F.sum("audit_issues"), F.lit(0)).alias("issues")).withColumn("status", F.when(F.col("failed") > 0, "partial_failed").when(F.col("issues") > 0, "attention").otherwise("succeeded"))
 
 
+def parts(jobs: DataFrame, per_part: int = 50_000) -> int:
+    """Into how many parts rows are dealt by their job, so that a part's jobs stay as many when the table grows."""
+    return max(1, -(-jobs.count() // per_part))
+
+
 def snapshot(jobs: DataFrame, stages: DataFrame) -> DataFrame:
-    """One row per job with its stages, in order, and their counts by state."""
-    held = ordered_stages(stages).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("place", "stage_name", "status"))).alias("_s"), F.count(F.lit(1)).alias("n_stages"), F.count_if(F.col("status") == "succeeded").alias("n_done"))
+    """One row per job with its stages, in order, and their counts by state.
+
+    A job's stages are sorted within its row. Stages that are dealt out by ``job_id`` already are not shuffled again.
+    """
+    row = F.struct((F.col("item_id") == "").alias("own"), "item_id", "stage_name", "status")
+    held = stages.groupBy("job_id").agg(F.array_sort(F.collect_list(row)).alias("_s"), F.count(F.lit(1)).alias("n_stages"), F.count_if(F.col("status") == "succeeded").alias("n_done"))
     names = F.array_join(F.transform("_s", lambda s: F.concat_ws(":", s["stage_name"], s["status"])), ",")
     return jobs.join(held, "job_id", "left").withColumn("stages", F.coalesce(names, F.lit(""))).na.fill(0, ["n_stages", "n_done"]).drop("_s")
 

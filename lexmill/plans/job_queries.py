@@ -25,8 +25,10 @@ JOBS = f"""jobs AS (SELECT o_orderkey AS job_id, {list(STATUS)}[CAST(floor(o_ord
   CASE WHEN o_orderkey % 35 = 0 THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS heartbeat FROM orders)"""
 
 
-def stages(spark, d):
+def stages(spark, d, parts=None):
+    """The stages; with ``parts`` dealt out by job before they are told apart."""
     l = read(spark, d, "lineitem")
+    l = l if parts is None else l.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_discount").repartition(parts, "l_orderkey")
     item = F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.concat(F.lit("item-"), F.col("l_linenumber").cast("string")))
     return l.select(F.col("l_orderkey").alias("job_id"), item.alias("item_id"), F.lower(F.concat(F.lit("stage-"), "l_returnflag", "l_linestatus", F.lit("-"), F.col("l_linenumber").cast("string"))).alias("stage_name"), F.when(F.col("l_returnflag") == "N", "running").otherwise("succeeded").alias("status"), F.round(F.col("l_discount") * 10, 2).alias("progress")).distinct()
 
@@ -44,7 +46,8 @@ def q_order(spark, d):
 
 
 def q_snapshot(spark, d):
-    return J.snapshot(jobs(spark, d).select("job_id", "status"), stages(spark, d)).select("job_id", "status", "stages", "n_stages", "n_done")
+    held = jobs(spark, d).select("job_id", "status")
+    return J.snapshot(held, stages(spark, d, J.parts(held))).select("job_id", "status", "stages", "n_stages", "n_done")
 
 
 def items(spark, d):
