@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.operators import job_store as S
 from lexmill.operators import jobs as J
 
-from .job_queries import ITEMS, JOBS, STAGES, items, jobs, read, stages
+from .job_queries import ITEMS, JOBS, STAGES, jobs, read, stages
 
 KINDS = ("claim", "heartbeat", "resume", "status", "claim", "cancel", "heartbeat", "status")
 SET = ("waiting_secret", "failed", "interrupted", "partial_failed", "succeeded", "attention")
@@ -81,9 +84,13 @@ def q_item_updates(spark, d):
 
 
 def q_insert(spark, d):
-    made = S.insert_job(jobs(spark, d).select("job_id", "created_at"), items(spark, d).select("job_id", "item_id").distinct().withColumn("ordinal", F.substring("item_id", 2, 9).cast("int")), ocr=False, organize=True, merge=True, mask=True, audit=False)
-    counts = [made[t].select("job_id", F.lit(t).alias("name")) for t in ("jobs", "items", "stages", "events")]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3]).groupBy("job_id").pivot("name", ["jobs", "items", "stages", "events"]).count().na.fill(0)
+    n = J.parts(read(spark, d, "orders"))
+    held = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.concat(F.lit("i"), F.col("l_linenumber").cast("string")).alias("item_id")).repartition(n, "job_id").distinct()
+    made = S.insert_job(jobs(spark, d).select("job_id", "created_at").repartition(n, "job_id"), held.withColumn("ordinal", F.substring("item_id", 2, 9).cast("int")), ocr=False, organize=True, merge=True, mask=True, audit=False)
+    # Each table is counted by job before they meet, so that a task holds one row a job and table.
+    names = ("jobs", "items", "stages", "events")
+    counts = reduce(DataFrame.unionByName, (made[t].groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit(t)) for t in names))
+    return counts.repartition(n, "job_id").groupBy("job_id").agg(*(F.coalesce(F.sum(F.when(F.col("name") == t, F.col("n"))), F.lit(0)).alias(t) for t in names))
 
 
 def q_reconcile(spark, d):

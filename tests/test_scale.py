@@ -46,6 +46,19 @@ def test_a_small_dictionary_leaves_texts_where_they_are(spark, monkeypatch):
     assert sorted(map(tuple, recognize.dictionary_spans(docs, names).collect())) == want
 
 
+def test_jobs_are_dealt_out_by_their_number(spark, tmp_path, monkeypatch):
+    day = datetime(1995, 1, 1)
+    spark.createDataFrame([(i, day) for i in range(40)], "o_orderkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i, n, "N", "O", 0.01, 1) for i in range(39) for n in (1, 2, 2)], "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_discount double, l_quantity int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(job_queries.J.parts, "__defaults__", (5,))
+    made = store_queries.q_insert(spark, str(tmp_path))
+    assert {tuple(r) for r in made.collect()} == {(i, 1, 2, 6, 1) for i in range(39)} | {(39, 1, 0, 0, 1)}
+    assert "hashpartitioning(job_id" in plan(made) and ", 8)" in plan(made)
+    held = job_queries.q_snapshot(spark, str(tmp_path))
+    assert {(r.job_id, r.stages, r.n_stages) for r in held.collect()} == {(i, "stage-no-1:running,stage-no-2:running", 2) for i in range(39)} | {(39, "", 0)}
+    assert "Window" not in plan(held) and ", 8)" in plan(held)
+
+
 def test_texts_of_customers_are_dealt_out(spark, tmp_path):
     spark.range(12_000).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     for made in (zh_queries.zh_docs, zh_queries.zh_people, zh_queries.zh_parties, zh_queries.leaky):
